@@ -36,6 +36,16 @@ def test_folding_at_once_is_folding_alone(both):
     assert ours.fold_all(words) == [bpe.fold(w, ours.ranks) for w in words]
 
 
+def test_small_table_forgets_but_stays_right(both, monkeypatch):
+    ours, theirs = both
+    monkeypatch.setattr(bpe, "MEMO", 20)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("the of and sto rin gre ate".split()) + rng.choice("abc") for _ in range(15)) for _ in range(60)]
+    for k in range(0, 60, 4):
+        for text, words in zip(texts[k : k + 4], ours.encode_all(texts[k : k + 4]), strict=True):
+            assert ",".join(w[0] for w in words) == ",".join(map(str, theirs.encode_ordinary(text)))
+
+
 def test_frame(spark, both):
     _, theirs = both
     texts = [None, "", "Hello world", "Hello world", "<|endoftext|> x" * 300]

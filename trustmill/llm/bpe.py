@@ -180,11 +180,11 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Puts words into the table: decimal ids joined by commas, their number, the bytes they decode to."""
-        if len(self.memo) + len(words) > MEMO:
+        if len(self.memo) > MEMO:
             self.old, self.memo = self.memo, {}
         old = self.old
         new = []
-        for w in words:
+        for w in words.difference(self.memo):
             if w in old:
                 self.memo[w] = old[w]
             else:
@@ -202,7 +202,7 @@ class Codec:
     def encode_all(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
         """encode() of a few texts; merges are folded once for each distinct word."""
         split = [self.words(x) for x in texts]
-        self.learn(set().union(*split).difference(self.memo))
+        self.learn(set().union(*split))
         get = self.memo.__getitem__
         return [[get(w) for w in x] for x in split]
 
