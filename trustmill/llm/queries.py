@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, decontaminate, langid
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_benchmark_decontamination": decontaminate.ORACLE,
+    }
