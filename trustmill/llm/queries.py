@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid
+from . import bpe, decontaminate, langid, repeats, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": repeats.op1_suffix_dedup,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op10_language_id": langid.op10_language_id,
