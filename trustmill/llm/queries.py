@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, near_dup, repeats, toxicity
+from . import bpe, decontaminate, fingerprint, langid, near_dup, repeats, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
         "op5_order_minhash": near_dup.op5_order_minhash,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op9_multiset_fingerprint": fingerprint.op9_multiset_fingerprint,
         "op10_language_id": langid.op10_language_id,
     }
 
