@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -276,7 +277,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], settle) -> Iterator[pa.RecordB
     names = [c for c, _ in _DEALT]
     now, held = None, []
     for batch in batches:
-        done = batch.filter(pa.compute.is_valid(batch.column("id")))
+        done = batch.filter(pc.is_valid(batch.column("id")))
         if len(done):
             yield done.select([c for c, _ in _RESULT])
         for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
