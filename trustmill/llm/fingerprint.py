@@ -56,7 +56,7 @@ def fingerprints(texts: DataFrame, key: list[str], text: str) -> DataFrame:
         sums += [F.sum(F.when(whole, x).otherwise(F.lit(0))) for x in (own.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(own, 32))]
     sums.append(F.count("h"))
     for k in range(LONGS // 32):
-        hashed = F.xxhash64(F.lit(k), "h") if k else F.col("h")
+        hashed = F.when(F.col("h").isNotNull(), F.xxhash64(F.lit(k), "h")) if k else F.col("h")
         sums += [F.sum(F.shiftrightunsigned(hashed, j).bitwiseAND(F.lit(_ONES))) for j in range(32)]
     added = paragraphs.groupBy(*key).agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)])
     zero = F.lit(0).cast("bigint")
