@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, langid, near_dup, repeats, toxicity
+from . import bpe, decontaminate, fingerprint, langid, near_dup, pii, repeats, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
         "op5_order_minhash": near_dup.op5_order_minhash,
+        "op6_pii_sanitisation": pii.op6_pii_sanitisation,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op9_multiset_fingerprint": fingerprint.op9_multiset_fingerprint,
         "op10_language_id": langid.op10_language_id,
