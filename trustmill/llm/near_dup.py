@@ -3,9 +3,9 @@
 Words are runs of bytes above the space. Each 5-word shingle is labelled with its occurrence number in the
 text. Each of SKETCHES hash functions picks the DRAWN least labels, and keeps them in text order: a
 sketch. Texts that share a sketch are candidates. Candidates are compared in stars: each bucket's
-first text with all others of another class, then the first of those left over, and so on. Buckets
-that still hold several classes after ROUNDS rounds are divided by a second shared sketch, and
-the rounds go on there. A candidate link holds if the edit distance of the word sequences, by
+first text with all others of another class, then the first of those left over. What is left over after ROUNDS
+rounds is divided by a second shared sketch and by length, and compared again, then by a third: a pair in a bucket of many classes
+is a candidate if it shares SHARED sketches, any other if it shares one. A candidate link holds if the edit distance of the word sequences, by
 alignment in a band as wide as the distance allows, is at most 0.2 of the longer one.
 Classes are the connected components of links; equal texts are one node from the start.
 
@@ -20,6 +20,7 @@ an empty table gives an empty table. Columns that clash with results are replace
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,9 @@ from .repeats import _mix, _tables, _U
 WORDS, SIMILAR = 5, 0.8
 #: At a shingle similarity of 0.8 two texts share one of 24 sketches of 3 with a probability over 0.9999999, at 0.6 of 0.997.
 SKETCHES, DRAWN = 24, 3
-ROUNDS = 3
+#: Rounds of stars in buckets of texts that share one sketch, then two, ... up to SHARED. Texts of a shingle similarity of 0.8 share
+#: fewer than 3 of 24 sketches with a probability of 0.000004.
+ROUNDS, SHARED = 2, 3
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -196,25 +199,41 @@ def _verify(least: float):
     return run
 
 
-def _rounds(rest: DataFrame, labels: DataFrame, words: DataFrame, links: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Compares bucket members (key, node, n) in stars. Returns links, labels, and the members left over, if any."""
+def _compare(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Of candidate pairs (a, b) those that align."""
+    texts = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
+    return common.materialise(texts.select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long"), "links")
+
+
+def _classes(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels (node, class) after the classes that found links are one; nodes without links have no row."""
+    named = found
+    for side in ("a", "b"):
+        named = named.join(labels.select(F.col("node").alias(side), F.col("class").alias(f"{side}_class")), side, "left")
+    merged = graph.components(named.select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")))
+    moved = labels.select("node", F.col("class").alias("old")).unionByName(merged.select("node", F.col("node").alias("old"))).distinct()
+    return common.materialise(moved.join(merged.select(F.col("node").alias("old"), "class"), "old", "left").groupBy("node").agg(F.min(F.coalesce("class", "old")).alias("class")), "classes")
+
+
+def _rounds(rest: DataFrame, labels: DataFrame, words: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """Compares bucket members (key, node, n) in stars. Returns labels, and the members left over, if any."""
     for _ in range(ROUNDS):
         named = rest.join(labels, "node", "left").select("key", "node", "n", F.coalesce("class", "node").alias("class"))
         centres = named.groupBy("key").agg(F.min(F.struct("node", "n", "class")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "c")
         pairs = named.join(centres, "key").where(F.col("class") != F.col("c.class"))
         near = F.least("n", "c.n") >= least * F.greatest("n", "c.n")
         pairs = common.materialise(pairs.select("key", "node", "n", F.col("c.node").alias("centre"), near.alias("near")), "pairs")
-        todo = pairs.where("near").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        texts = todo.join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-        found = common.materialise(texts.select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long"), "links")
         if pairs.isEmpty():
-            return links, labels, None
-        links = links.unionByName(found)
-        labels = graph.components(links)
+            return labels, None
+        found = _compare(pairs.where("near").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), words, least)
+        if not found.isEmpty():
+            labels = _classes(labels, found)
         # Left over: members that their bucket's centre did not get.
-        rest = pairs.join(labels.select("node", F.col("class").alias("own")), "node", "left").join(labels.select(F.col("node").alias("centre"), F.col("class").alias("of_centre")), "centre", "left")
-        rest = common.materialise(rest.where(F.coalesce("own", "node") != F.coalesce("of_centre", "centre")).select("key", "node", "n"), "rest")
-    return links, labels, rest
+        own, of_centre = labels.select("node", F.col("class").alias("own")), labels.select(F.col("node").alias("centre"), F.col("class").alias("of_centre"))
+        apart = pairs.join(own, "node", "left").join(of_centre, "centre", "left").where(F.coalesce("own", "node") != F.coalesce("of_centre", "centre"))
+        rest = common.materialise(apart.select("key", "node", "n"), "rest")
+    several = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    return labels, rest.join(several, "key")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -224,27 +243,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     drawn = rows.mapInArrow(_sketch, "doc_id long, text_key binary, n long, sketch array<long>").withColumn("row", F.monotonically_increasing_id())
     drawn = common.materialise(drawn, "sketches")
-    nodes = drawn.groupBy("text_key").agg(F.min("row").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    nodes = drawn.groupBy("text_key").agg(F.min(F.struct("row", "n", "sketch")).alias("m")).select("text_key", F.col("m.row").alias("node"), F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch"))
     nodes = common.materialise(nodes, "nodes")
     members = nodes.where("n > 0").select("node", "n", F.posexplode("sketch").alias("j", "s")).select(F.xxhash64("j", "s").alias("key"), "node", "n")
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    rest = common.materialise(members.join(shared, "key"), "buckets")
-    wanted = rest.select("node").distinct()
+    rest: DataFrame | None = common.materialise(members.join(shared, "key"), "buckets")
     # Of a text that has copies one is fetched.
-    copies = drawn.join(wanted.select("node", F.col("node").alias("row")), "row").select("node", F.col("doc_id").alias("id"), "text_key")
+    copies = drawn.join(rest.select(F.col("node").alias("row")).distinct(), "row").select(F.col("row").alias("node"), F.col("doc_id").alias("id"), "text_key")
     texts = rows.withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     fetched = texts.join(copies, (texts["text_key"] == copies["text_key"]) & texts["doc_id"].eqNullSafe(copies["id"])).select("node", "text")
     words = common.materialise(fetched.mapInArrow(_words, "node long, words binary").dropDuplicates(["node"]), "words")
-    empty = spark.createDataFrame([], "a long, b long")
-    links, labels, rest = _rounds(rest, spark.createDataFrame([], "node long, class long"), words, empty, least)
-    if rest is not None and not rest.isEmpty():
-        other = nodes.select("node", F.posexplode("sketch").alias("j", "s")).select("node", F.xxhash64("j", "s").alias("second"))
-        divided = rest.join(other, "node").where("key != second").select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "node", "n").distinct()
+    labels = spark.createDataFrame([], "node long, class long")
+    other = nodes.where("n > 0").select("node", F.posexplode("sketch").alias("j", "s")).select("node", F.xxhash64("j", "s").alias("second"))
+    for level in range(SHARED):
+        labels, rest = _rounds(rest, labels, words, least)
+        if rest is None or level + 1 == SHARED or rest.isEmpty():
+            break
+        # Divided by a further sketch, and by length: 0.8 apart are the bounds of a bin, and texts stand in their own and the next.
+        size = F.floor(F.log("n") / F.lit(-math.log(least))).cast("int")
+        divided = rest.join(other, "node").where("key != second").select((F.col("key").bitwiseXOR(F.col("second"))).alias("k"), "node", "n", F.explode(F.array(size, size + 1)).alias("bin"))
+        divided = divided.select(F.xxhash64("k", "bin").alias("key"), "node", "n").distinct()
         several = divided.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-        while rest is not None and not rest.isEmpty():
-            links, labels, rest = _rounds(common.materialise(divided.join(several, "key"), "buckets"), labels, words, links, least)
-            divided = rest
-            several = rest.select("key").distinct() if rest is not None else None
+        rest = common.materialise(divided.join(several, "key"), "buckets")
     named = drawn.select("doc_id", "text_key").join(nodes.select("text_key", "node"), "text_key").join(labels, "node", "left").select("doc_id", "text_key", F.coalesce("class", "node").alias("class"))
     sizes = named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(sizes, "class").select("doc_id", "class_id", "class_size", "text_key")
