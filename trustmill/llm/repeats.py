@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,7 +75,8 @@ def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
 class Chunk:
     """Some segments of documents: hashes, window minima and anchors."""
 
-    def __init__(self, ids: list[int], keys: list[int], bases: list[int], parts: list[bytes], last: list[bool]):
+    def __init__(self, ids: list[int], keys: list[int], bases: list[int], parts: list[bytes], last: list[bool], unit: int):
+        self.unit = unit  # bases are multiples of it
         self.last = np.array(last, bool)  # the segment ends its text
         self.raw = b"".join(parts)
         self.ids, self.keys, self.bases = np.array(ids, np.int64), np.array(keys, np.uint32), np.array(bases, np.int64)
@@ -122,14 +124,15 @@ class Chunk:
 def _chunks(batches: Iterator[pa.RecordBatch], chunk: int, extra: int = 0) -> Iterator[tuple[Chunk, list]]:
     """Chunks of rows (id, key, text, ...); with extra, also the values of so many further columns by segment."""
     ids, keys, bases, parts, last, more, size = [], [], [], [], [], [], 0
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(3 + extra)]
         for row in zip(*columns, strict=True):
-            text = (row[2] or "").encode("utf-8", "surrogatepass")
+            text = unpack(row[2]) if isinstance(row[2], bytes) else (row[2] or "").encode("utf-8", "surrogatepass")
             for base in range(0, max(1, len(text) - (SPAN - 1)), chunk):
                 part = text[base : base + chunk + SPAN - 1]
                 if size and size + len(part) > chunk:
-                    yield Chunk(ids, keys, bases, parts, last), more
+                    yield Chunk(ids, keys, bases, parts, last, chunk), more
                     ids, keys, bases, parts, last, more, size = [], [], [], [], [], [], 0
                 ids.append(row[0])
                 keys.append(row[1])
@@ -139,7 +142,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk: int, extra: int = 0) -> It
                 more.append(row[3:])
                 size += len(part)
     if parts:
-        yield Chunk(ids, keys, bases, parts, last), more
+        yield Chunk(ids, keys, bases, parts, last, chunk), more
 
 
 def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -158,7 +161,8 @@ def _by_document(ids: np.ndarray, keys: np.ndarray, spans: np.ndarray, open_: np
     docs, number = np.unique(pair, axis=0, return_inverse=True)
     number = number.reshape(-1)
     out = {"id": pa.array(docs[:, 0], pa.int64()), "key": pa.array(docs[:, 1], pa.int64())}
-    for name, part, num in (("spans", spans[:, 1:], number[: len(spans)]), ("open", open_[:, 1], number[len(spans) :])):
+    start = np.maximum(spans[:, 1], 0)
+    for name, part, num in (("spans", start << 24 | (spans[:, 2] - start), number[: len(spans)]), ("open", open_[:, 1], number[len(spans) :])):
         order = np.argsort(num, kind="stable")
         out[name] = _binary(part[order].astype(np.int64), np.searchsorted(num[order], np.arange(len(docs) + 1)))
     return out
@@ -174,8 +178,9 @@ def _rows(columns: dict[str, pa.Array], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds], names=[c for c, _ in kinds])
 
 
-_DOC = np.dtype([("id", "<i8"), ("base", "<i8"), ("start", "<u4"), ("key", "<u4")])
-_ANCHOR = np.dtype([("a", "<u4"), ("x", "<u4"), ("y", "<u2"), ("at", "<u4"), ("hot", "u1")])
+_DOC = np.dtype([("id", "<i8"), ("base", "<u4"), ("start", "<u4"), ("key", "<u4")])
+#: 12 bytes an anchor: its hash (32 bits beside the bucket's), its neighbourhood's (40 bits), its place and whether it is hot (24 bits).
+_ANCHOR = np.dtype([("a", "<u4"), ("x", "<u4"), ("y", "u1"), ("p", "<u2"), ("q", "u1")])
 _PLACE = np.dtype([("at", "<u4"), ("size", "u1"), ("windows", "u1")])
 
 
@@ -183,32 +188,41 @@ def _document_table(c: Chunk, seg: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The segments in use, and the number of each one among them."""
     used, number = np.unique(seg, return_inverse=True)
     table = np.zeros(len(used), _DOC)
-    table["id"], table["base"], table["start"], table["key"] = c.ids[used], c.bases[used], c.starts[used], c.keys[used]
+    table["id"], table["base"], table["start"], table["key"] = c.ids[used], c.bases[used] // c.unit, c.starts[used], c.keys[used]
     return table.tobytes(), number
 
 
+def _place(places: np.ndarray) -> np.ndarray:
+    """Where in the chunk the anchors or windows are."""
+    if places.dtype == _ANCHOR:
+        return places["p"].astype(np.int64) | (places["q"].astype(np.int64) & 127) << 16
+    return places["at"].astype(np.int64)
+
+
 def _deal(c: Chunk, bucket: np.ndarray, places: np.ndarray, body: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
     """A row for each bucket; places are sorted by bucket. body: bytes of all places, and the size of each."""
     numbers, first = np.unique(bucket, return_index=True)
     cuts = np.append(first, len(bucket))
-    seg = c.of(places["at"].astype(np.int64))
+    seg = c.of(_place(places))
     tables = [_document_table(c, seg[a:b])[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     columns = {"bucket": pa.array(numbers, pa.int32()), "docs": pa.array(tables, pa.binary()), "places": pa.array([places[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())}
     if body is not None:
-        columns["body"] = _binary(body[0], np.concatenate([[0], body[1].cumsum()])[cuts])
+        ends, raw, pack = np.concatenate([[0], body[1].cumsum()])[cuts], body[0].tobytes(), zstandard.ZstdCompressor(1).compress
+        columns["body"] = pa.array([pack(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
     return _rows(columns, _DEALT + _RESULT)
 
 
-def _join(docs: list[bytes], places: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _join(docs: list[bytes], places: list[bytes], kind: np.dtype, unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All places, with their id, key and position in the document."""
     found, ids, keys, at = [], [], [], []
     for d, p in zip(docs, places, strict=True):
         table, part = np.frombuffer(d, _DOC), np.frombuffer(p, kind)
-        seg = np.searchsorted(table["start"], part["at"], "right") - 1
+        place = _place(part)
+        seg = np.searchsorted(table["start"], place, "right") - 1
         found.append(part)
         ids.append(table["id"][seg])
         keys.append(table["key"][seg])
-        at.append(part["at"].astype(np.int64) - table["start"][seg] + table["base"][seg])
+        at.append(place - table["start"][seg] + table["base"][seg].astype(np.int64) * unit)
     return tuple(np.concatenate(x) for x in (found, ids, keys, at))
 
 
@@ -264,7 +278,7 @@ def map_anchors(buckets: int, chunk: int, most_kinds: int):
             bucket = (h & _U(0xFFFFFFFF)) % _U(buckets)
             order = np.argsort(bucket, kind="stable")
             places = np.zeros(len(h), _ANCHOR)
-            places["a"], places["x"], places["y"], places["at"], places["hot"] = h >> _U(32), x & _U(0xFFFFFFFF), (x >> _U(32)) & _U(0xFFFF), at, flag
+            places["a"], places["x"], places["y"], places["p"], places["q"] = h >> _U(32), x & _U(0xFFFFFFFF), (x >> _U(32)) & _U(0xFF), at & 0xFFFF, (at >> 16) | flag.astype(np.int64) << 7
             yield _deal(c, bucket[order].astype(np.int32), places[order])
             if found := _by_document(c.ids, c.keys, spans, open_):
                 yield _rows(found, _DEALT + _RESULT)
@@ -292,12 +306,12 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], settle) -> Iterator[pa.RecordB
         yield from settle(held)
 
 
-def settle_anchors(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+def settle_anchors(held: list[tuple], unit: int) -> Iterator[pa.RecordBatch]:
     """Of one bucket: neighbourhoods that an earlier document has, too, and anchors left open."""
-    p, ids, keys, at = _join([r[1] for r in held], [r[2] for r in held], _ANCHOR)
+    p, ids, keys, at = _join([r[1] for r in held], [r[2] for r in held], _ANCHOR, unit)
     x = p["x"].astype(_U) | p["y"].astype(_U) << _U(32)
     order = np.lexsort((ids, x, p["a"]))
-    a, x, hot, ids, keys, at = (v[order] for v in (p["a"], x, p["hot"], ids, keys, at))
+    a, x, hot, ids, keys, at = (v[order] for v in (p["a"], x, p["q"] >> 7, ids, keys, at))
     pair, n = _groups(a, x), len(a)
     later = ids > _spread(ids[pair], pair, n)
     one = _groups(a)
@@ -326,7 +340,9 @@ def covered(spans: np.ndarray, n: int) -> np.ndarray:
 
 
 def _pairs(values: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(values or []), np.int64).reshape(-1, 2)
+    """Start and end of spans that were packed into 40 and 24 bits."""
+    packed = np.frombuffer(b"".join(values or []), np.int64)
+    return np.stack([packed >> 24, (packed >> 24) + (packed & 0xFFFFFF)], 1)
 
 
 def map_suffixes(buckets: int, chunk: int):
@@ -404,10 +420,11 @@ def suffix_order(body: np.ndarray, at: np.ndarray, ties: np.ndarray) -> tuple[np
     return order, _groups(*(k[order] for k in columns))
 
 
-def settle_suffixes(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+def settle_suffixes(held: list[tuple], unit: int) -> Iterator[pa.RecordBatch]:
     """Of one bucket: windows whose longest previous factor has SPAN bytes or more."""
-    p, ids, keys, at = _join([r[1] for r in held], [r[2] for r in held], _PLACE)
-    body = np.frombuffer(b"".join(r[3] for r in held), np.uint8)
+    p, ids, keys, at = _join([r[1] for r in held], [r[2] for r in held], _PLACE, unit)
+    unpack = zstandard.ZstdDecompressor().decompress
+    body = np.frombuffer(b"".join(unpack(r[3]) for r in held), np.uint8)
     size, n = p["size"].astype(np.int64), p["windows"].astype(np.int64)
     owner = np.repeat(np.arange(len(p)), n)
     step = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
@@ -421,8 +438,13 @@ def settle_suffixes(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield _rows(found, _RESULT)
 
 
-def _digest(text: str | None, spans: np.ndarray) -> tuple[int, int, int, str, bytes]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(3).compress
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in b.column(3).to_pylist()], pa.binary())], names=b.schema.names)
+
+
+def _digest(raw: bytes, spans: np.ndarray) -> tuple[int, int, int, str, bytes]:
     gone = covered(spans, len(raw))
     edges = [0, *gone.reshape(-1).tolist(), len(raw)]
     kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
@@ -433,7 +455,8 @@ def _finish(keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(3)]
-            done = [_digest(t, np.concatenate([_pairs(a), _pairs(b)])) for t, a, b in zip(*columns, strict=True)]
+            unpack = zstandard.ZstdDecompressor().decompress
+            done = [_digest(unpack(t), np.concatenate([_pairs(a), _pairs(b)])) for t, a, b in zip(*columns, strict=True)]
             arrays = [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[3:], *arrays, *([pa.array([d[4] for d in done], pa.binary())] if keep else [])], names=[*batch.schema.names[3:], "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep else [])])
 
@@ -452,22 +475,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def dealt(df: DataFrame, mapped, settle) -> DataFrame:
         own = "coalesce(bucket, cast(pmod(hash(id, key), %d) as int))" % buckets
         moved = df.mapInArrow(mapped, _SCHEMA).repartition(buckets, F.expr(own)).sortWithinPartitions("bucket")
-        found = moved.mapInArrow(lambda batches: _by_bucket(batches, settle), "id long, key long, spans binary, open binary")
+        found = moved.mapInArrow(lambda batches: _by_bucket(batches, lambda held: settle(held, chunk)), "id long, key long, spans binary, open binary")
         return found.groupBy("id", "key").agg(F.collect_list(F.when(F.length("spans") > 0, F.col("spans"))).alias("spans"), F.collect_list(F.when(F.length("open") > 0, F.col("open"))).alias("open"))
 
     first = dealt(rows.select("id", "key", "text"), map_anchors(buckets, chunk, hot), settle_anchors)
-    joined = rows.join(first, ["id", "key"], "left")
+    packed = rows.select("id", "key", "doc_id", "text").mapInArrow(_pack_texts, "id long, key long, doc_id %s, text binary" % docs.schema[doc_id].dataType.simpleString())
+    joined = packed.join(first, ["id", "key"], "left")
     settled = F.col("open").isNull() | (F.size("open") == 0)
     # Rows that are settled need their digest only; the others keep their text for the second round.
-    fields = "doc_id %s, id long, key long, text string, spans array<binary>, open array<binary>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" % docs.schema[doc_id].dataType.simpleString()
+    fields = "doc_id %s, id long, key long, text binary, spans array<binary>, open array<binary>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" % docs.schema[doc_id].dataType.simpleString()
 
     def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = [b.column(c).to_pylist() for c in ("text", "spans", "open")]
-            done = [(None,) * 5 if left else _digest(t, _pairs(s)) for t, s, left in zip(*columns, strict=True)]
+            unpack = zstandard.ZstdDecompressor().decompress
+            done = [(None,) * 5 if left else _digest(unpack(t), _pairs(s)) for t, s, left in zip(*columns, strict=True)]
             texts = [t if left else None for t, left in zip(columns[0], columns[2], strict=True)]
             spans = [s if left else None for s, left in zip(columns[1], columns[2], strict=True)]
-            arrays = [b.column("doc_id"), b.column("id"), b.column("key"), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.binary())), pa.array(columns[2], pa.list_(pa.binary()))]
+            arrays = [b.column("doc_id"), b.column("id"), b.column("key"), pa.array(texts, pa.binary()), pa.array(spans, pa.list_(pa.binary())), pa.array(columns[2], pa.list_(pa.binary()))]
             arrays += [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             arrays.append(pa.array([d[4] if keep else None for d in done], pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "id", "key", "text", "spans", "open", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
