@@ -1,13 +1,73 @@
-"""Corpus pipeline: STAGES over the documents table."""
+"""The corpus pipeline: from raw documents to token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of documents. What a stage returns is written as Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trustmill.llm import bpe, common, decontaminate, langid, near_dup, pii
+
+#: A document whose language is predicted with less than this is rejected, as is one without letters.
+LEAST_LANGUAGE_SCORE = 0.3
+#: Benchmark items in a document that reject it: here one is enough.
+LEAST_ITEMS = 1
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents of a language that the network knows. Without any labelled document, those that have a letter."""
+    network = langid.train(docs)
+    if not network.labels:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = langid.identify(docs, network)
+    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each class of near duplicates; of repeated rows one."""
+    found = near_dup.near_duplicates(docs)
+    stay = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.text_key").alias("__key"))
+    keyed = docs.withColumn("__text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    kept = keyed.join(stay, (keyed["__text_key"] == stay["__key"]) & keyed["doc_id"].cast("long").eqNullSafe(stay["__id"]))
+    return kept.dropDuplicates(["__text_key", "doc_id"]).select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of LEAST_ITEMS benchmark items."""
+    copied = docs.withColumn("__text", F.col("text"))
+    found = decontaminate.decontaminate(copied, common.read(spark, sf_dir, "benchmark"), min_items=LEAST_ITEMS, text="__text")
+    return found.where(~F.col("contaminated")).select(docs.columns)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Generalises personal data to its kind, removes disclosing terms, and counts characters anew."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with the digests of ids and of what they decode to."""
+    return bpe.encode_decode(docs.select("doc_id", "text"), keep_ids=True).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_dup", deduplicate),
+    ("decontamination", without_benchmark),
+    ("pii", without_personal_data),
+    ("byte_bpe", encode),
+]
+
+#: Networks and alignments are not for SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = common.read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

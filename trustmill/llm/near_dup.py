@@ -237,7 +237,7 @@ def _rounds(rest: DataFrame, labels: DataFrame, words: DataFrame, least: float)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id, class_size, text_key (MD5 of the text): a row for each row of docs."""
+    """doc_id, class_id, class_size, text_key (MD5 of the text), class (a number): a row for each row of docs."""
     spark = docs.sparkSession
     common.tune(spark)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rest = common.materialise(divided.join(several, "key"), "buckets")
     named = drawn.select("doc_id", "text_key").join(nodes.select("text_key", "node"), "text_key").join(labels, "node", "left").select("doc_id", "text_key", F.coalesce("class", "node").alias("class"))
     sizes = named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return named.join(sizes, "class").select("doc_id", "class_id", "class_size", "text_key")
+    return named.join(sizes, "class").select("doc_id", "class_id", "class_size", "text_key", "class")
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
