@@ -1,19 +1,446 @@
-"""Registry of queries and their SQL."""
+"""Registry of queries and their SQL: each operator over the driver's whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import decision, evaluate, model, rules, structural, text_quality, univariate, vectors
+from . import scan
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels"), "doc_id")
+
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def long_lineitem(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    return C.long_form(t(spark, sf_dir, "lineitem"), FEATURES, ["l_returnflag", *keys]).withColumnRenamed("l_returnflag", "label")
+
+
+_LONG = "SELECT l_returnflag AS label, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value FROM lineitem"
+_COLUMNS = ["l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_missing, count(*) AS n_rows, round((count(*) - count({c})) / count(*), 6) AS missing_rate, CASE WHEN (count(*) - count({c})) / count(*) >= 0.5 THEN 'FAILED' WHEN (count(*) - count({c})) / count(*) >= 0.05 THEN 'HAND_CHECK' ELSE 'PASSED' END AS status FROM lineitem" for c in _COLUMNS))
+def missing_values(spark, sf_dir):
+    return structural.missing_values(t(spark, sf_dir, "lineitem").select(_COLUMNS))
+
+
+@query("WITH k AS (SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey, l_quantity, l_discount, l_returnflag, l_shipdate FROM lineitem)), a AS (SELECT count(*) AS n FROM lineitem) SELECT a.n AS n_rows, a.n - k.n AS n_duplicates, round((a.n - k.n) / a.n, 6) AS duplicate_rate, CASE WHEN (a.n - k.n) / a.n >= 0.35 THEN 'FAILED' WHEN (a.n - k.n) / a.n >= 0.01 THEN 'HAND_CHECK' ELSE 'PASSED' END AS status FROM k, a")
+def duplicate_rows(spark, sf_dir):
+    return structural.duplicate_rows(t(spark, sf_dir, "lineitem").select(_COLUMNS))
+
+
+@query("WITH d AS (SELECT count(DISTINCT text) AS k, count(*) AS n FROM documents) SELECT n AS n_rows, n - k AS n_duplicates, round((n - k) / n, 6) AS duplicate_rate, CASE WHEN (n - k) / n >= 0.35 THEN 'FAILED' WHEN (n - k) / n >= 0.01 THEN 'HAND_CHECK' ELSE 'PASSED' END AS status FROM d")
+def duplicate_texts(spark, sf_dir):
+    return structural.duplicate_rows(t(spark, sf_dir, "documents"), ["text"])
+
+
+@query("WITH g AS (SELECT lang, source, quality, count(DISTINCT toxic) AS y, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL), s AS (SELECT count(*) FILTER (y > 1) AS n_groups, coalesce(sum(n) FILTER (y > 1), 0) AS c, sum(n) AS n FROM g) SELECT n_groups, CAST(c AS BIGINT) AS n_conflict_rows, round(c / n, 6) AS conflict_rate, CASE WHEN c / n >= 0.02 THEN 'FAILED' WHEN n_groups > 0 THEN 'HAND_CHECK' ELSE 'PASSED' END AS status FROM s")
+def exact_label_conflict(spark, sf_dir):
+    return structural.label_conflicts(labelled(spark, sf_dir).select("lang", "source", "quality", "toxic"), "toxic")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) <= 1 AS constant FROM orders" for c in ("o_orderstatus", "o_totalprice", "o_orderpriority")))
+def constant_features(spark, sf_dir):
+    return structural.constant_features(t(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice", "o_orderpriority"))
+
+
+@query("WITH c AS (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1) SELECT count(*) AS n_classes, max(n) AS largest, min(n) AS smallest, round(max(n) / min(n), 6) AS ratio, CASE WHEN max(n) / min(n) > 5 THEN 'HAND_CHECK' ELSE 'PASSED' END AS status FROM c")
+def class_balance(spark, sf_dir):
+    return structural.class_balance(t(spark, sf_dir, "labels"), "quality")
+
+
+@query("WITH c AS (SELECT CAST(toxic AS VARCHAR) AS l, count(*) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY 1) SELECT first(l ORDER BY n DESC, l DESC) AS top_label, round(max(n) / sum(n), 6) AS top_share, CASE WHEN max(n) / sum(n) >= 0.98 THEN 'REVIEW' WHEN max(n) / sum(n) >= 0.9 THEN 'WARN' END AS severity FROM c")
+def class_imbalance(spark, sf_dir):
+    return structural.class_imbalance(t(spark, sf_dir, "labels"), "toxic")
+
+
+@query("SELECT count(*) AS n_rows, CASE WHEN count(*) = 0 THEN 'REVIEW' WHEN count(*) < 20 THEN 'WARN' END AS severity FROM region")
+def small_dataset(spark, sf_dir):
+    return structural.small_dataset(t(spark, sf_dir, "region"))
+
+
+@query("""WITH v AS (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS c, unnest([l_quantity, l_discount, l_tax]) AS x FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem),
+ q AS (SELECT c, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b, count(*) AS rows, count(x) AS p, count(DISTINCT x) AS k FROM v GROUP BY c),
+ n AS (SELECT c, x, count(*) AS n FROM v WHERE x IS NOT NULL GROUP BY c, x)
+ SELECT c AS "column", round(x, 6) AS value, n, round(greatest(a - x, x - b) / (b - a), 6) AS iqr_distance FROM n JOIN q USING (c) WHERE p >= 4 AND k >= 10 AND b > a AND n >= greatest(1, floor(rows * 0.01)) AND greatest(a - x, x - b) / (b - a) > 3""")
+def numeric_sentinel(spark, sf_dir):
+    return structural.numeric_sentinels(t(spark, sf_dir, "lineitem"), FEATURES)
+
+
+@query("WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS d, count(*) AS n FROM events), z AS (SELECT event_id, round(abs((value - m) / d), 6) AS z, n FROM events, s) SELECT 'value' AS \"column\", min(event_id) FILTER (z = mz) AS row_index, max(z) AS max_z, max(z) >= 8 AS extreme FROM (SELECT *, max(z) OVER () AS mz FROM z) WHERE n >= 20")
+def numeric_outlier(spark, sf_dir):
+    return structural.numeric_outliers(t(spark, sf_dir, "events"), "event_id", ["value"])
+
+
+@query(r"SELECT 'text' AS ""column"", count(*) FILTER (text IS NULL OR regexp_replace(text, '\s+', '', 'g') = '') AS n_empty, CASE WHEN count(*) FILTER (text IS NULL OR regexp_replace(text, '\s+', '', 'g') = '') > 0 THEN 'FAILED' ELSE 'PASSED' END AS status FROM documents".replace('""', '"'))
+def empty_texts(spark, sf_dir):
+    return text_quality.empty_texts(t(spark, sf_dir, "documents"), ["text"])
+
+
+@query("WITH l AS (SELECT length(text) AS n FROM documents WHERE text IS NOT NULL), q AS (SELECT quantile_cont(n, 0.25) AS a, quantile_cont(n, 0.75) AS b FROM l) SELECT count(*) AS n_texts, CAST(min(n) AS INT) AS shortest, CAST(max(n) AS INT) AS longest, round(avg(n), 6) AS mean_length, count(*) FILTER (n < a - 5 * (b - a) OR n > b + 5 * (b - a)) AS n_outside, CASE WHEN count(*) FILTER (n < a - 5 * (b - a) OR n > b + 5 * (b - a)) > 0 THEN 'HAND_CHECK' ELSE 'PASSED' END AS status FROM l, q")
+def text_length_anomaly(spark, sf_dir):
+    return text_quality.length_anomalies(t(spark, sf_dir, "documents"), "text")
+
+
+@query("WITH k AS (SELECT text, count(DISTINCT toxic) AS y FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL GROUP BY text) SELECT count(*) AS n_texts, count(*) FILTER (y > 1) AS n_conflicts, round(count(*) FILTER (y > 1) / count(*), 6) AS conflict_rate, CASE WHEN count(*) FILTER (y > 1) / count(*) >= 0.01 THEN 'FAILED' WHEN count(*) FILTER (y > 1) > 0 THEN 'HAND_CHECK' ELSE 'PASSED' END AS status FROM k")
+def text_label_conflict(spark, sf_dir):
+    return text_quality.text_label_conflicts(labelled(spark, sf_dir), "text", "toxic")
+
+
+@query(r"WITH n AS (SELECT count(*) AS n FROM conversations WHERE text IS NOT NULL), w AS (SELECT conv_id, turn, unnest(list_distinct(regexp_split_to_array(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+'))) AS token FROM conversations WHERE text IS NOT NULL), f AS (SELECT token, count(*) AS n_docs FROM w WHERE token <> '' GROUP BY token) SELECT token, n_docs, round(n_docs / n, 6) AS share FROM f, n WHERE regexp_matches(token, '^(?:[0-9]+[a-zA-Z]+|[a-zA-Z]+[0-9]+)[a-zA-Z0-9]*$') AND n_docs >= 0.1 * n")
+def suspicious_token(spark, sf_dir):
+    return text_quality.suspicious_tokens(t(spark, sf_dir, "conversations"), "text")
+
+
+@query(r"WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(text, '\s+'))) AS token FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL), f AS (SELECT token, count(*) AS n_docs FROM w WHERE token <> '' GROUP BY token) SELECT token, n_docs FROM f, n WHERE regexp_matches(token, '^[A-Za-z0-9]{6,}$') AND n_docs >= greatest(5.0, 0.005 * n)")
+def trigger_token(spark, sf_dir):
+    return text_quality.trigger_tokens(t(spark, sf_dir, "documents"), "text")
+
+
+@query(r"WITH s AS (SELECT CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars, CAST(sum(length(regexp_replace(coalesce(text, ''), '[\x00-\x7F]+', '', 'g'))) AS BIGINT) AS n_non_ascii FROM documents) SELECT n_chars, n_non_ascii, round(n_non_ascii / n_chars, 6) AS rate, CASE WHEN n_non_ascii / n_chars >= 0.005 THEN 'FAILED' ELSE 'PASSED' END AS status FROM s")
+def non_ascii(spark, sf_dir):
+    return text_quality.non_ascii(t(spark, sf_dir, "documents"), "text")
+
+
+@query(r"SELECT doc_id, CAST(length(regexp_replace(text, '[\x00-\x7F]+', '', 'g')) AS INT) AS n_non_ascii FROM documents WHERE length(regexp_replace(text, '[\x00-\x7F]+', '', 'g')) > 0")
+def charset_scan(spark, sf_dir):
+    return text_quality.charset_counts(t(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@query(r"WITH w AS (SELECT CAST(toxic AS VARCHAR) AS y, unnest(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9_@$#./\\:-]{3,}'))) AS token FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL), c AS (SELECT token, y, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT token, sum(n) AS d, max(n) AS m, first(y ORDER BY n DESC, y DESC) AS y FROM c GROUP BY token) SELECT sha256(token) AS token_sha256, y AS top_label, CAST(d AS BIGINT) AS n_docs, round(m / d, 6) AS share FROM s WHERE d >= 3 AND m / d >= 0.95")
+def rare_token_label(spark, sf_dir):
+    return text_quality.label_tokens(labelled(spark, sf_dir), ["text"], "toxic")
+
+
+@query(r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM benchmark), c AS (SELECT item_id, term, count(*) AS tf FROM w GROUP BY ALL),
+ v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT 200), n AS (SELECT count(*) AS n FROM benchmark),
+ x AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN v USING (term), n), z AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1)
+ SELECT item_id, term, round(w / norm, 6) AS weight FROM x JOIN z USING (item_id)""")
+def tfidf(spark, sf_dir):
+    return text_quality.tfidf(t(spark, sf_dir, "benchmark"), "text", "item_id")
+
+
+def _findings(spark, sf_dir):
+    pages = rules.rule_findings(t(spark, sf_dir, "pages"), ["html"], "page_id", rules.RULES)
+    docs = rules.rule_findings(t(spark, sf_dir, "documents"), ["text"], "doc_id", rules.RULES)
+    return docs.unionByName(pages)
+
+
+def _rule_sql(table: str, column: str, row: str) -> str:
+    quoted = lambda p: p.replace("'", "''")
+    return " UNION ALL ".join(f"SELECT '{r}' AS rule_id, '{c}' AS category, '{s}' AS severity, {q}::DOUBLE AS confidence, '{column}' AS \"column\", {row} AS row_index, sha256({column}) AS value_sha256 FROM {table} WHERE regexp_matches({column}, '(?im){quoted(p)}')" for r, c, s, q, p in rules.RULES)
+
+
+@query(_rule_sql("documents", "text", "doc_id") + " UNION ALL " + _rule_sql("pages", "html", "page_id"))
+def regex_rule_hits(spark, sf_dir):
+    return _findings(spark, sf_dir)
+
+
+@query("WITH f AS (" + _rule_sql("documents", "text", "doc_id") + " UNION ALL " + _rule_sql("pages", "html", "page_id") + """), s AS (SELECT "column", count(*) AS n_findings, bool_or(severity = 'BLOCK') AS hard, least(1.0, sum((CASE category WHEN 'prompt_injection' THEN 0.85 WHEN 'sqli' THEN 0.75 WHEN 'xss' THEN 0.75 WHEN 'command_injection' THEN 0.75 WHEN 'template_injection' THEN 0.7 WHEN 'path_traversal' THEN 0.6 WHEN 'ldap_injection' THEN 0.6 ELSE 0.2 END) * (CASE severity WHEN 'BLOCK' THEN 1.0 WHEN 'REVIEW' THEN 0.7 ELSE 0.2 END) * confidence * 0.25)) AS raw FROM f GROUP BY 1) SELECT "column", round(CASE WHEN hard THEN greatest(raw, 0.7) ELSE raw END, 4)::DOUBLE AS score, CASE WHEN hard OR raw >= 0.7 THEN 'BLOCK' WHEN raw >= 0.35 THEN 'REVIEW' ELSE 'ALLOW' END AS decision, n_findings FROM s""")
+def guard_decision(spark, sf_dir):
+    return decision.guard_decisions(_findings(spark, sf_dir), ["column"])
+
+
+@query(r"SELECT 'text' AS col, count(*) FILTER (regexp_matches(text, '(?i)(?:select|insert|update|delete|drop|--|;|\bor\b|\band\b)')) AS hits FROM documents".replace(" AS col", ' AS "column"'))
+def sql_like_payload(spark, sf_dir):
+    return rules.sql_like(t(spark, sf_dir, "documents"), ["text"])
+
+
+@query()
+def prompt_static(spark, sf_dir):
+    turns = t(spark, sf_dir, "conversations").withColumn("row", F.xxhash64("conv_id", "turn"))
+    return rules.prompt_assertions(turns, ["text"], "row")
+
+
+@query(r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b'), lambda m: lower(split_part(m, '@', -1)) NOT IN ('example.com', 'company.com', 'test.com', 'email.com'))) > 0 AS email,
+ regexp_matches(text, '\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b') AS ipv4, regexp_matches(text, '(?i)\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b') AS iban,
+ regexp_matches(text, '(?:^|[^\w#])(?:\+\d{1,3}[\s.-]?(?:\(?\d{2,4}\)?[\s.-]?){1,3}\d{3,4}|\(\d{3}\)[\s.-]?\d{3}[\s.-]?\d{4}|\d{3}[\s.-]\d{3}[\s.-]\d{4})(?:$|[^\w])') AS phone FROM documents""")
+def pii_rules(spark, sf_dir):
+    found = rules.personal_data(F.coalesce("text", F.lit("")))
+    return t(spark, sf_dir, "documents").select("doc_id", found["pii.regex.email"].alias("email"), found["pii.regex.ipv4"].alias("ipv4"), found["pii.regex.iban"].alias("iban"), found["pii.regex.phone"].alias("phone"))
+
+
+@query()
+def pii_card_luhn(spark, sf_dir):
+    cards = rules.card_numbers(F.coalesce("text", F.lit("")))
+    return t(spark, sf_dir, "documents").select("doc_id", F.size(cards).alias("n_cards")).where("n_cards > 0")
+
+
+@query(f"SELECT doc_id, len(list_filter(regexp_extract_all(replace(text, 'o', 'о'), '[A-Za-zЀ-ӿ]{{3,}}'), lambda m: regexp_matches(m, '[A-Za-z]') AND regexp_matches(m, '[{rules.CYRILLIC}]')))::INT AS n_tokens FROM documents")
+def homoglyph_tokens(spark, sf_dir):
+    # the tables have no Cyrillic letters: one Latin letter is replaced by its look-alike
+    injected = F.translate("text", "o", "о")
+    return t(spark, sf_dir, "documents").select("doc_id", F.size(rules.homoglyph_tokens(injected)).alias("n_tokens"))
+
+
+@query("SELECT doc_id, CAST(length(regexp_replace(text, '[^.]', '', 'g')) AS INT) AS n_invisible FROM documents")
+def invisible_chars(spark, sf_dir):
+    # each full stop becomes a zero-width space
+    return t(spark, sf_dir, "documents").select("doc_id", rules.invisible_characters(F.translate("text", ".", "​")).alias("n_invisible"))
+
+
+@query("WITH f AS (" + _rule_sql("pages", "html", "page_id") + ") SELECT DISTINCT category, rule_id AS subtype, rule_id, 'regex' AS detector, \"column\", row_index, value_sha256, confidence, severity FROM f")
+def dedupe_findings(spark, sf_dir):
+    found = rules.rule_findings(t(spark, sf_dir, "pages"), ["html"], "page_id", rules.RULES).withColumns({"subtype": F.col("rule_id"), "detector": F.lit("regex")})
+    twice = found.unionByName(found)
+    return rules.dedupe_findings(twice.select(*rules.KEY, "confidence", "severity"))
+
+
+@query("WITH f AS (" + _rule_sql("documents", "text", "doc_id") + ") SELECT f.rule_id, f.row_index, d.lang, d.source FROM f JOIN documents d ON d.doc_id = f.row_index")
+def evidence_join(spark, sf_dir):
+    found = rules.rule_findings(t(spark, sf_dir, "documents"), ["text"], "doc_id", rules.RULES).select("rule_id", "row_index")
+    rows = rules.evidence(found, t(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    return rows.select("rule_id", "row_index", F.get_json_object("evidence", "$.lang").alias("lang"), F.get_json_object("evidence", "$.source").alias("source"))
+
+
+@query("SELECT doc_id AS row_index, 'URL' AS subtype FROM documents d WHERE doc_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = d.doc_id AND e.doc_id % 2 = 0) UNION ALL SELECT doc_id, 'EMAIL_ADDRESS' FROM documents WHERE doc_id % 2 = 0")
+def suppress_url_in_email(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_index"), F.lit("text").alias("column"), F.sha2("text", 256).alias("value_sha256"), F.lit("presidio").alias("detector"))
+    found = docs.where("row_index % 3 = 0").withColumn("subtype", F.lit("URL")).unionByName(docs.where("row_index % 2 = 0").withColumn("subtype", F.lit("EMAIL_ADDRESS")))
+    return rules.suppress_urls_in_emails(found).select("row_index", "subtype")
+
+
+@query(f"WITH v AS ({_LONG}), m AS (SELECT label, feature, median(value) AS med FROM v GROUP BY ALL), d AS (SELECT v.*, abs(value - med) AS dev FROM v JOIN m USING (label, feature)), s AS (SELECT label, feature, median(dev) AS mad FROM d GROUP BY ALL) SELECT label, feature, count(*) AS n, round(avg(CASE WHEN 0.6745 * dev / mad > 3.5 THEN 1.0 ELSE 0.0 END), 6) AS share FROM d JOIN s USING (label, feature) WHERE mad >= 1e-10 GROUP BY ALL")
+def m01_modified_z(spark, sf_dir):
+    return univariate.modified_z(long_lineitem(spark, sf_dir))
+
+
+@query(f"WITH v AS ({_LONG}), m AS (SELECT label, feature, avg(value) AS mu FROM v GROUP BY ALL), c AS (SELECT label, feature, count(*) AS n, avg(power(value - mu, 2)) AS m2, avg(power(value - mu, 3)) AS m3, avg(power(value - mu, 4)) AS m4 FROM v JOIN m USING (label, feature) GROUP BY ALL) SELECT label, feature, n, round(m3 / power(m2, 1.5), 4) AS skew, round(m4 / (m2 * m2) - 3, 4) AS kurt, abs(m3 / power(m2, 1.5)) > 2 OR m4 / (m2 * m2) - 3 > 10 OR m4 / (m2 * m2) - 3 < -1.5 AS anomalous FROM c")
+def m02_moments(spark, sf_dir):
+    return univariate.moments(long_lineitem(spark, sf_dir))
+
+
+@query(f"""WITH v AS (SELECT label, feature, value, k % 2 = 0 AS h FROM (SELECT l_returnflag AS label, l_orderkey + l_partkey AS k, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value FROM lineitem)),
+ c AS (SELECT label, feature, value, count(*) FILTER (h) AS a, count(*) FILTER (NOT h) AS b FROM v GROUP BY ALL), r AS (SELECT label, feature, sum(a) OVER w AS a, sum(b) OVER w AS b, sum(a) OVER (PARTITION BY label, feature) AS na, sum(b) OVER (PARTITION BY label, feature) AS nb FROM c WINDOW w AS (PARTITION BY label, feature ORDER BY value ROWS UNBOUNDED PRECEDING))
+ SELECT label, feature, round(max(abs(a / na - b / nb)), 6) AS d FROM r GROUP BY ALL""")
+def m03_ks_halves(spark, sf_dir):
+    long = long_lineitem(spark, sf_dir, ("l_orderkey", "l_partkey")).withColumn("h", (F.col("l_orderkey") + F.col("l_partkey")) % 2 == 0)
+    return univariate.ks_halves(long, "h").select("label", "feature", "d")
+
+
+@query(f"""WITH v AS ({_LONG}), two AS (SELECT DISTINCT label FROM v ORDER BY label LIMIT 2), r AS (SELECT * FROM v WHERE label IN (SELECT label FROM two)), b AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM r GROUP BY 1),
+ c AS (SELECT feature, least(19, floor((value - lo) / ((hi - lo) / 20))) AS bin, any_value((hi - lo) / 20) AS w, count(*) FILTER (label = (SELECT min(label) FROM two)) AS a, count(*) FILTER (label <> (SELECT min(label) FROM two)) AS b FROM r JOIN b USING (feature) GROUP BY 1, 2),
+ g AS (SELECT f.feature, f.w, k.bin, coalesce(c.a, 0) AS a, coalesce(c.b, 0) AS b FROM (SELECT feature, any_value(w) AS w FROM c GROUP BY 1) f, (SELECT unnest(range(20)) AS bin) k LEFT JOIN c ON c.feature = f.feature AND c.bin = k.bin),
+ d AS (SELECT feature, a / (sum(a) OVER p * w) + 1e-9 AS a, b / (sum(b) OVER p * w) + 1e-9 AS b FROM g WINDOW p AS (PARTITION BY feature)), n AS (SELECT feature, a / sum(a) OVER p AS a, b / sum(b) OVER p AS b FROM d WINDOW p AS (PARTITION BY feature))
+ SELECT feature, round(sqrt(greatest(0, sum(a * ln(a / ((a + b) / 2)) + b * ln(b / ((a + b) / 2))) / 2)), 6) AS distance FROM n GROUP BY feature""")
+def m05_js_distance(spark, sf_dir):
+    return univariate.js_distances(long_lineitem(spark, sf_dir))
+
+
+@query(f"""WITH v AS ({_LONG}), c AS (SELECT label, feature, value, count(*) AS c FROM v GROUP BY ALL), e AS (SELECT feature, value, sum(c) AS g FROM c GROUP BY ALL), l AS (SELECT DISTINCT label, feature FROM c),
+ x AS (SELECT l.label, l.feature, e.value, coalesce(c.c, 0) AS c, e.g FROM l JOIN e USING (feature) LEFT JOIN c ON c.label = l.label AND c.feature = l.feature AND c.value = e.value),
+ r AS (SELECT label, feature, sum(c) OVER w / sum(c) OVER (PARTITION BY label, feature) AS f, sum(g) OVER w / sum(g) OVER (PARTITION BY label, feature) AS h, lead(value) OVER (PARTITION BY label, feature ORDER BY value) - value AS s FROM x WINDOW w AS (PARTITION BY label, feature ORDER BY value ROWS UNBOUNDED PRECEDING))
+ SELECT label, feature, round(sum(abs(f - h) * s), 6) AS distance FROM r GROUP BY ALL""")
+def m06_wasserstein(spark, sf_dir):
+    return univariate.wasserstein(long_lineitem(spark, sf_dir))
+
+
+@query("WITH o AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS o FROM orders GROUP BY ALL), r AS (SELECT a, sum(o) AS p FROM o GROUP BY 1), c AS (SELECT b, sum(o) AS q FROM o GROUP BY 1), n AS (SELECT sum(o) AS n FROM o), g AS (SELECT p * q / n AS e, coalesce(o.o, 0) AS o, n FROM r CROSS JOIN c CROSS JOIN n LEFT JOIN o ON o.a = r.a AND o.b = c.b) SELECT round(sum((o - e) * (o - e) / e), 6) AS chi2, CAST(((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM c) - 1) AS INT) AS dof, CAST(max(n) AS BIGINT) AS n FROM g")
+def m07_chi_square(spark, sf_dir):
+    return univariate.chi_square(t(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority").select("chi2", "dof", "n")
+
+
+_KNN = "WITH e AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), k AS (SELECT a.vec_id AS key, a.label AS label, b.vec_id AS other, b.label AS other_label, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS r FROM e a JOIN e b ON a.vec_id <> b.vec_id)"
+
+
+@query(_KNN + ", x AS (SELECT key, label, avg(CASE WHEN label <> other_label THEN 1.0 ELSE 0.0 END) AS x FROM k WHERE r <= 5 GROUP BY ALL), c AS (SELECT label, count(*) AS n, sum(x) AS x FROM x GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(x) / sum(n), 6) AS disagreement, round(1 - sum(n * n) / (sum(n) * sum(n)), 6) AS gini, round(sum(x) / sum(n) / (1 - sum(n * n) / (sum(n) * sum(n))), 6) AS ratio FROM c")
+def m09_knn_consistency(spark, sf_dir):
+    return vectors.knn_consistency(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query(_KNN + ", x AS (SELECT * FROM k WHERE r = 1), q AS (SELECT quantile_cont(d, 0.05) AS cut FROM x) SELECT count(*) AS n, round(max(cut), 6) AS cut, count(*) FILTER (d <= cut AND label <> other_label) AS n_conflicts, round(count(*) FILTER (d <= cut AND label <> other_label) / count(*), 6) AS rate FROM x, q")
+def m10_near_conflicts(spark, sf_dir):
+    return vectors.near_conflicts(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query(_KNN + ", x AS (SELECT * FROM k WHERE r <= 20), kd AS (SELECT key, max(d) AS kd FROM x GROUP BY 1), l AS (SELECT x.key, 1 / (avg(greatest(kd.kd, x.d)) + 1e-10) AS lrd FROM x JOIN kd ON kd.key = x.other GROUP BY 1), t AS (SELECT x.key, avg(l.lrd) AS a FROM x JOIN l ON l.key = x.other GROUP BY 1) SELECT t.key, round(a / lrd, 6) AS lof FROM t JOIN l USING (key)")
+def m12_lof(spark, sf_dir):
+    return vectors.lof(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query()
+def m13_noise(spark, sf_dir):
+    return vectors.noise(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query()
+def m14_spectral(spark, sf_dir):
+    return vectors.spectral_signatures(t(spark, sf_dir, "embeddings"), "embedding", "label")
+
+
+@query()
+def m15_pca_residual(spark, sf_dir):
+    return vectors.pca_residuals(t(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query()
+def m08_mahalanobis(spark, sf_dir):
+    return vectors.class_outliers(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", "mahalanobis")
+
+
+@query()
+def m11_isolation(spark, sf_dir):
+    return vectors.class_outliers(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", "forest")
+
+
+@query()
+def m16_separability(spark, sf_dir):
+    return vectors.separability(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query(_KNN + " SELECT key, round(count(*) FILTER (label <> other_label) / 15, 6) AS score FROM k WHERE r <= 14 GROUP BY key")
+def knn_consensus(spark, sf_dir):
+    return vectors.consensus(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query()
+def spectre(spark, sf_dir):
+    rows = structural.stratified_sample(t(spark, sf_dir, "embeddings"), "vec_id", "label", 2000)
+    return model.class_scores(rows, "vec_id", "embedding", "label", "spectre").select("key", "label", F.round("score", 6).alias("score"))
+
+
+@query()
+def activation_clusters(spark, sf_dir):
+    rows = structural.stratified_sample(t(spark, sf_dir, "embeddings"), "vec_id", "label", 2000)
+    return model.class_scores(rows, "vec_id", "embedding", "label", "clusters").groupBy("label").agg(F.round(F.max("silhouette"), 6).alias("silhouette"), F.round(F.max("minority"), 6).alias("minority"))
+
+
+def _network(inputs: int = 64, hidden: int = 16, classes: int = 3) -> list:
+    rng = np.random.default_rng(0)
+    return [(rng.normal(0, 0.3, (hidden, inputs)), np.zeros(hidden)), (rng.normal(0, 0.5, (classes, hidden)), np.zeros(classes))]
+
+
+@query()
+def mlp_forward(spark, sf_dir):
+    return model.score_model(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", _network()).select("key", F.transform("proba", lambda p: F.round(p, 6)).alias("proba"))
+
+
+@query()
+def rpp_stability(spark, sf_dir):
+    return model.rpp(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", _network(), np.full(64, 0.125)).select("key", F.round("score", 6).alias("score"))
+
+
+@query("WITH p AS (SELECT abs(embedding[1]) + abs(embedding[2]) + abs(embedding[3]) AS s, abs(embedding[4]) + abs(embedding[5]) + abs(embedding[6]) AS u, [abs(CAST(embedding[i] AS DOUBLE)) FOR i IN [1,2,3]] AS a, [abs(CAST(embedding[i] AS DOUBLE)) FOR i IN [4,5,6]] AS b FROM embeddings), q AS (SELECT (abs(a[1] / list_sum(a) - b[1] / list_sum(b)) + abs(a[2] / list_sum(a) - b[2] / list_sum(b)) + abs(a[3] / list_sum(a) - b[3] / list_sum(b))) / 2 AS tv FROM p), s AS (SELECT count(*) AS n, count(*) FILTER (tv >= 0.5) AS f, quantile_cont(tv, 0.5) FILTER (tv >= 0.5) AS m FROM q) SELECT n, f AS n_flipped, round(f / n, 6) AS share, round(m, 6) AS median_flipped, CASE WHEN f = 0 THEN 'PASSED' WHEN f / n <= 0.4 AND m >= 0.7 THEN 'BLOCK' ELSE 'REVIEW' END AS decision FROM s")
+def tv_model_diff(spark, sf_dir):
+    part = lambda a: F.transform(F.slice("embedding", a, 3), lambda x: F.abs(x.cast("double")))
+    norm = lambda c: F.transform(c, lambda x: x / F.aggregate(c, F.lit(0.0), lambda p, q: p + q))
+    return model.total_variation(t(spark, sf_dir, "embeddings").select(norm(part(1)).alias("old"), norm(part(4)).alias("new")), "old", "new")
+
+
+@query("WITH w AS (SELECT 'p_size' AS name, CAST(p_size AS DOUBLE) AS v FROM part UNION ALL SELECT 'p_retailprice', p_retailprice FROM part) SELECT name, count(*) FILTER (isnan(v)) AS n_nan, count(*) FILTER (isinf(v)) AS n_inf, max(abs(v)) AS max_abs, max(abs(v)) >= 1e6 AS anomalous FROM w GROUP BY name")
+def weight_anomaly(spark, sf_dir):
+    part = t(spark, sf_dir, "part")
+    return model.weight_anomalies(part.select(F.lit("p_size").alias("name"), F.col("p_size").cast("double").alias("value")).unionByName(part.select(F.lit("p_retailprice").alias("name"), F.col("p_retailprice").alias("value"))))
+
+
+@query("WITH m AS (SELECT median(o_totalprice) AS m FROM orders), d AS (SELECT median(abs(o_totalprice - m)) AS d FROM orders, m) SELECT o_orderkey, o_totalprice > m + 3 * 1.4826 * d AS flagged FROM orders, m, d")
+def mad_outlier_flags(spark, sf_dir):
+    return model.mad_flags(t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").select("o_orderkey", "flagged")
+
+
+@query("WITH k AS (SELECT greatest(1, CAST(floor(count(*) * 0.15) AS INT)) AS k FROM customer), b AS (SELECT min(c_acctbal) AS b FROM (SELECT c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC) AS r FROM customer), k WHERE r <= k) SELECT c_custkey, c_acctbal >= b AS flagged FROM customer, b")
+def rank_flags(spark, sf_dir):
+    return model.top_fraction(t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 0.15).select("c_custkey", "flagged")
+
+
+@query("WITH c AS (SELECT d.lang, count(*) FILTER (toxic = 1 AND d.n_chars > 1000) AS tp, count(*) FILTER (toxic <> 1 AND d.n_chars > 1000) AS fp, count(*) FILTER (toxic <> 1 AND d.n_chars <= 1000) AS tn, count(*) FILTER (toxic = 1 AND d.n_chars <= 1000) AS fn FROM documents d JOIN labels USING (doc_id) GROUP BY 1) SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 0 END AS recall, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) ELSE 0 END AS f1 FROM c")
+def confusion_metrics(spark, sf_dir):
+    return evaluate.confusion(labelled(spark, sf_dir).withColumn("p", (F.col("n_chars") > 1000).cast("int")), "toxic", "p", ["lang"])
+
+
+_LAYERS = "SELECT o_orderpriority AS layer, CASE o_orderstatus WHEN 'F' THEN 'BLOCK' WHEN 'O' THEN 'ALLOW' ELSE 'REVIEW' END AS decision, o_custkey % 4 <> 0 AS poisoned, o_totalprice / 1000 AS risk FROM orders"
+
+
+@query(f"WITH l AS ({_LAYERS}) SELECT coalesce(layer, 'final') AS layer, count(*) AS n, count(*) FILTER (decision IN ('REVIEW', 'BLOCK')) AS alerts, count(*) FILTER (decision = 'BLOCK') AS blocks, count(*) FILTER (decision NOT IN ('REVIEW', 'BLOCK') AND NOT poisoned) AS clean_allowed, round(avg(risk), 6) AS mean_risk FROM l GROUP BY ROLLUP (layer)")
+def layer_metrics(spark, sf_dir):
+    orders = t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("layer"), F.when(F.col("o_orderstatus") == "F", "BLOCK").when(F.col("o_orderstatus") == "O", "ALLOW").otherwise("REVIEW").alias("decision"), (F.col("o_custkey") % 4 != 0).alias("poisoned"), (F.col("o_totalprice") / 1000).alias("risk"))
+    return evaluate.layer_metrics(orders)
+
+
+@query("WITH s AS (SELECT n_chars AS s, count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic <> 1) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s) SELECT round(sum(p * (b + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM r")
+def roc_auc(spark, sf_dir):
+    return evaluate.roc_auc(labelled(spark, sf_dir), "toxic", "n_chars")
+
+
+@query("SELECT event_type, count(value) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, round(median(value), 6) AS median, quantile_disc(value, 0.95) AS p95, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
+def latency_summary(spark, sf_dir):
+    return evaluate.latency(t(spark, sf_dir, "events"), "value", ["event_type"])
+
+
+@query("WITH r AS (SELECT l_suppkey % 10 AS family, l_linenumber AS version, avg(l_discount) AS rate FROM lineitem GROUP BY ALL), b AS (SELECT family, rate AS base FROM r WHERE version = 4) SELECT family, version, round(greatest(rate - coalesce(base, 0), 0), 6) AS excess, round(least(1.0, greatest(rate - coalesce(base, 0), 0) / 0.01), 6) AS risk, CASE WHEN greatest(rate - coalesce(base, 0), 0) >= 0.01 THEN 'BLOCK' WHEN greatest(rate - coalesce(base, 0), 0) >= 0.0005 THEN 'REVIEW' ELSE 'ALLOW' END AS decision FROM r LEFT JOIN b USING (family)")
+def excess_rate(spark, sf_dir):
+    rates = t(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("family"), F.col("l_linenumber").alias("version")).agg(F.avg("l_discount").alias("rate"))
+    return evaluate.excess_decisions(rates, "family", "version", 4, "rate", 0.0005, 0.01)
+
+
+@query("WITH a AS (SELECT quantile_cont(c_acctbal, 0.95) AS a FROM customer), o AS (SELECT c_mktsegment, quantile_cont(c_acctbal, 0.95) AS o, count(*) AS n FROM customer GROUP BY 1) SELECT c_mktsegment, round(CASE WHEN n >= 5 THEN o ELSE a END, 6) AS threshold FROM o, a")
+def class_thresholds(spark, sf_dir):
+    return evaluate.class_thresholds(t(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal")
+
+
+@query("SELECT l_orderkey, l_linenumber, r FROM (SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) AS r FROM lineitem)")
+def numeric_vectorize(spark, sf_dir):
+    return scan.standardised(t(spark, sf_dir, "lineitem"), ["l_quantity"]).select("l_orderkey", "l_linenumber", F.round("l_quantity", 6).alias("r"))
+
+
+@query("WITH s AS (SELECT c_mktsegment AS v, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM customer)) SELECT c_custkey, CAST(code AS INT) AS code FROM customer JOIN s ON v = c_mktsegment")
+def categorical_vectorize(spark, sf_dir):
+    return scan.ordinal(t(spark, sf_dir, "customer"), "c_mktsegment").select("c_custkey", "code")
+
+
+@query("SELECT o_orderkey, (o_orderkey % 7 = 0) AS changed FROM orders")
+def poison_mask(spark, sf_dir):
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return structural.poison_mask(orders.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))), orders, "o_orderkey")
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES ('a', 1, 'stats', 'FAILED', NULL, NULL), ('a', 2, 'stats', 'HAND_CHECK', NULL, NULL), ('b', 1, 'sanity', 'FAILED', NULL, 'BLOCK'), ('b', 2, 'stats', 'FAILED', NULL, NULL), ('c', 1, 'stats', 'PASSED', NULL, NULL)) x(run, position, category, status, reason, decision))
+ SELECT 'a' AS run, 0.2::DOUBLE AS risk_score, 'REVIEW' AS decision UNION ALL SELECT 'b', 1.0, 'BLOCK' UNION ALL SELECT 'c', 0.0, 'ALLOW'""")
+def final_decision(spark, sf_dir):
+    rows = [("a", 1, "stats", "FAILED", None, None), ("a", 2, "stats", "HAND_CHECK", None, None), ("b", 1, "sanity", "FAILED", None, "BLOCK"), ("b", 2, "stats", "FAILED", None, None), ("c", 1, "stats", "PASSED", None, None)]
+    return decision.final_decisions(spark.createDataFrame(rows, "run string, position int, category string, status string, reason string, decision string"), ["run"])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """Missing values, duplicates and class balance of lineitem to one decision."""
+    return scan.scan_table(t(spark, sf_dir, "lineitem"), "lineitem", label="l_returnflag", skip=("l_linenumber",))
+
+
+@query()
+def scan_lineitem(spark, sf_dir):
+    return flagship(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
