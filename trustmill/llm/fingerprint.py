@@ -103,7 +103,7 @@ def _range(order: Column, bounds: list[int]) -> Column:
 
 
 def followed(docs: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
-    """docs with next_row and next_text: those of the document of the next id, after the last the first.
+    """docs with __range, next_row and next_text: those of the document of the next id, after the last the first.
 
     Quantiles of the ids cut them into ranges of about RANGE documents; each range is ordered in a task of its own, and
     its last document gets the first one of the next range.
@@ -123,7 +123,7 @@ def followed(docs: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     after = chain.join(heads.select(F.col("__range").alias("then"), "head"), "then").select("__range", "head")
     last = F.col("next_row").isNull()
     out = placed.join(after, "__range")
-    return out.select(*docs.columns, F.when(last, F.col(f"head.{row}")).otherwise(F.col("next_row")).alias("next_row"), F.when(last, F.col(f"head.{text}")).otherwise(F.col("next_text")).alias("next_text"))
+    return out.select(*docs.columns, "__range", F.when(last, F.col(f"head.{row}")).otherwise(F.col("next_row")).alias("next_row"), F.when(last, F.col(f"head.{text}")).otherwise(F.col("next_text")).alias("next_text"))
 
 
 def fingerprint_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,10 +133,11 @@ def fingerprint_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     edited = F.expr("concat(substring(text, 1, length(text) - cast(floor(length(text) / 4) as int)), substring(next_text, 1, cast(floor(length(text) / 4) as int)))")
-    both = followed(rows, "doc_id", "text", "row").select("doc_id", "row", "next_row", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    both = followed(rows, "doc_id", "text", "row").select("__range", "doc_id", "row", "next_row", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
     sha = F.sha2(F.col("edited"), 256)
-    versions = both.select("doc_id", "row", "next_row", "n_chars", sha.alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
-    key = ["doc_id", "row", "next_row", "n_chars", "edited_sha256", "kind"]
+    versions = both.select("__range", "doc_id", "row", "next_row", "n_chars", sha.alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
+    # Rows are dealt out by range already: with it in the key, sums need no further exchange.
+    key = ["__range", "doc_id", "row", "next_row", "n_chars", "edited_sha256", "kind"]
     found = fingerprints(versions.select(*key[:-1], "x.kind", "x.t"), key, "t")
     pair = found.groupBy(*key[:-1]).agg(F.max(F.when(F.col("kind") == 0, F.col("v"))).alias("v"), F.max(F.when(F.col("kind") == 1, F.col("v"))).alias("e"))
     pair = common.materialise(pair, "fingerprints")
