@@ -119,19 +119,23 @@ def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None, ne
     pairs = pairs.select("__row", "__digest", "entity", F.lower("t.value").alias("term"), "t.start", "t.end")
     together = pairs.select("__digest", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
     together = common.materialise(together, "together")
-    if not together.isEmpty():
-        # n(e) of the entities, n(t) of the terms in question, over different texts.
-        of_entity = held.where(F.size("__found") > 0).select("__digest", F.explode("__found").alias("s")).select("__digest", F.xxhash64("s.kind", "s.value").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-        terms = small(together.select("term").distinct())
+    n_texts = rows.select(F.approx_count_distinct(body, 0.01)).first()[0]
+    total = F.lit(float(max(n_texts, 1)))
+    # The most texts that a term may stand in and still disclose; no fewer than those in which it is near any entity.
+    of_entity = held.where(F.size("__found") > 0).select("__digest", F.explode("__found").alias("s")).select("__digest", F.xxhash64("s.kind", "s.value").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    seen = pairs.select("__digest", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
+    most = F.col("both") * F.pow(total / F.col("n_entity"), F.lit(1 - disclosure))
+    told = together.join(of_entity, "entity").where(F.col("n_entity") < total).withColumn("most", most).join(seen, "term").where(F.col("seen") <= F.col("most"))
+    told = common.materialise(told.select("entity", "term", "both", "n_entity"), "told")
+    if not told.isEmpty():
+        # n(t) of the terms in question, over different texts.
+        terms = small(told.select("term").distinct())
         corpus = rows.select(F.md5(body).alias("d"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(_WORD), F.lit(0)))).alias("term")).join(terms, "term")
         of_term = corpus.groupBy("term").agg(F.approx_count_distinct("d", 0.01).alias("n_term"))
-        n_texts = rows.select(F.approx_count_distinct(body, 0.01)).first()[0]
-        total = F.lit(float(max(n_texts, 1)))
-        told = together.join(of_entity, "entity").join(of_term, "term")
-        most = F.greatest(F.col("both"), F.col("n_term"))
-        shared = F.log2(total * F.col("both") / (most * F.col("n_entity")))
+        counted = told.join(of_term, "term")
+        shared = F.log2(total * F.col("both") / (F.greatest(F.col("both"), F.col("n_term")) * F.col("n_entity")))
         own = F.log2(total / F.col("n_entity"))
-        disclosing = common.materialise(told.where((own > 0) & (shared >= disclosure * own)).select("entity", "term"), "disclosing")
+        disclosing = common.materialise(counted.where(shared >= disclosure * own).select("entity", "term"), "disclosing")
         extra = pairs.join(small(disclosing), ["entity", "term"]).select("__row", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("s"))
         extra = extra.groupBy("__row").agg(F.collect_set("s").alias("__terms"))
         held = held.join(extra, "__row", "left")
