@@ -28,7 +28,7 @@ def moments(long: DataFrame) -> DataFrame:
     """label, feature, n, skew, kurt, anomalous: population skewness and excess kurtosis."""
     out = long.groupBy("label", "feature").agg(F.count(F.lit(1)).alias("n"), F.skewness("value").alias("s"), F.kurtosis("value").alias("k"))
     odd = (F.abs("s") > SKEW) | (F.col("k") > KURTOSIS_HIGH) | (F.col("k") < KURTOSIS_LOW)
-    return out.select("label", "feature", "n", F.round("s", 4).alias("skew"), F.round("k", 4).alias("kurt"), odd.alias("anomalous"))
+    return out.select("label", "feature", "n", (F.round("s", 4) + F.lit(0.0)).alias("skew"), (F.round("k", 4) + F.lit(0.0)).alias("kurt"), odd.alias("anomalous"))
 
 
 def _cdf(counts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

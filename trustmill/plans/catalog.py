@@ -99,7 +99,7 @@ def numeric_outlier(spark, sf_dir):
     return structural.numeric_outliers(t(spark, sf_dir, "events"), "event_id", ["value"])
 
 
-@query(r"SELECT 'text' AS ""column"", count(*) FILTER (text IS NULL OR regexp_replace(text, '\s+', '', 'g') = '') AS n_empty, CASE WHEN count(*) FILTER (text IS NULL OR regexp_replace(text, '\s+', '', 'g') = '') > 0 THEN 'FAILED' ELSE 'PASSED' END AS status FROM documents".replace('""', '"'))
+@query(r"SELECT 'text' AS col, count(*) FILTER (text IS NULL OR regexp_replace(text, '\s+', '', 'g') = '') AS n_empty, CASE WHEN count(*) FILTER (text IS NULL OR regexp_replace(text, '\s+', '', 'g') = '') > 0 THEN 'FAILED' ELSE 'PASSED' END AS status FROM documents".replace(" AS col", ' AS "column"'))
 def empty_texts(spark, sf_dir):
     return text_quality.empty_texts(t(spark, sf_dir, "documents"), ["text"])
 
@@ -232,7 +232,7 @@ def m01_modified_z(spark, sf_dir):
     return univariate.modified_z(long_lineitem(spark, sf_dir))
 
 
-@query(f"WITH v AS ({_LONG}), m AS (SELECT label, feature, avg(value) AS mu FROM v GROUP BY ALL), c AS (SELECT label, feature, count(*) AS n, avg(power(value - mu, 2)) AS m2, avg(power(value - mu, 3)) AS m3, avg(power(value - mu, 4)) AS m4 FROM v JOIN m USING (label, feature) GROUP BY ALL) SELECT label, feature, n, round(m3 / power(m2, 1.5), 4) AS skew, round(m4 / (m2 * m2) - 3, 4) AS kurt, abs(m3 / power(m2, 1.5)) > 2 OR m4 / (m2 * m2) - 3 > 10 OR m4 / (m2 * m2) - 3 < -1.5 AS anomalous FROM c")
+@query(f"WITH v AS ({_LONG}), m AS (SELECT label, feature, avg(value) AS mu FROM v GROUP BY ALL), c AS (SELECT label, feature, count(*) AS n, avg(power(value - mu, 2)) AS m2, avg(power(value - mu, 3)) AS m3, avg(power(value - mu, 4)) AS m4 FROM v JOIN m USING (label, feature) GROUP BY ALL) SELECT label, feature, n, round(m3 / power(m2, 1.5), 4) + 0.0 AS skew, round(m4 / (m2 * m2) - 3, 4) + 0.0 AS kurt, abs(m3 / power(m2, 1.5)) > 2 OR m4 / (m2 * m2) - 3 > 10 OR m4 / (m2 * m2) - 3 < -1.5 AS anomalous FROM c")
 def m02_moments(spark, sf_dir):
     return univariate.moments(long_lineitem(spark, sf_dir))
 
