@@ -34,6 +34,8 @@ TRAIN_TOXIC, TRAIN_CLEAN = 2000, 5000
 THRESHOLD = 0.3
 #: Lengths of lexicon entries, and the chance that an entry of the whole lexicon is a coincidence.
 SHORTEST, LONGEST, COINCIDENCE = 3, 12, 0.05
+#: Log-odds that an entry has at least.
+LEAST_ODDS = 2.5
 #: Look-alikes of Latin letters, in the order of LOOKS_AS; digits used for letters; l, i and 1 are one letter.
 LOOK_ALIKE = "аеорсухіјѕԁһӏɡαοιυν０１３４５７＠ⅼ"
 LOOKS_AS = "aeopcyxijsdhlgaoiuvoieastal"
@@ -43,6 +45,7 @@ INVISIBLE = "­​‌‍⁠﻿"
 _FOLD = {ord(a): ord(b) for a, b in zip(LOOK_ALIKE + DIGITS, LOOKS_AS + DIGITS_AS, strict=True)} | {ord(c): None for c in INVISIBLE}
 _FOLD = {k: ord("l") if v == ord("i") else v for k, v in _FOLD.items()} | {ord("i"): ord("l")}
 _WORD = re.compile(r"[^\W\d_]+").findall
+_END = re.compile(r"\w+")
 
 
 def fold(text: str | None) -> str:
@@ -94,7 +97,9 @@ class Lexicon:
     def features(self, text: str | None) -> tuple[float, float]:
         """Logarithms of the summed weight, and of that per thousand words."""
         folded = fold(text)
-        total = sum(h[2] for h in self.hits(folded))
+        # A word that comes again and again counts by the logarithm.
+        words = Counter((_END.match(folded, h[0])[0], h[2]) for h in self.hits(folded))
+        total = sum(weight * math.log2(1 + n) for (_, weight), n in words.items())
         return math.log1p(total), math.log1p(1000 * total / (folded.count(" ") + folded.count("\n") + 20)) if total else 0.0
 
     def score(self, text: str | None) -> float:
@@ -132,7 +137,7 @@ def learn(texts: list[str | None], toxic: list[int]) -> Lexicon:
     sizes = [sum(sum(math.log2(1 + n) for n in words.values()) for words, y in bags if y == kind) for kind in (1, 0)]
     least = max(3, math.ceil(0.7 * math.log(COINCIDENCE / max(1, len(inside))) / math.log(n_toxic / len(bags))))
     odds = {p: math.log((inside[p] + 0.5) / (sizes[0] + 1)) - math.log((outside[p] + 0.5) / (sizes[1] + 1)) for p in holding}
-    good = {p for p in holding if odds[p] > 1.5}
+    good = {p for p in holding if odds[p] > LEAST_ODDS}
     weights: dict[str, float] = {}
     longer: set[str] = set()  # beginnings of entries
 
