@@ -46,6 +46,14 @@ def test_small_table_forgets_but_stays_right(both, monkeypatch):
             assert ",".join(w[0] for w in words) == ",".join(map(str, theirs.encode_ordinary(text)))
 
 
+def test_higher_order_functions_fold_alike(spark, both):
+    ours, _ = both
+    small = {p: r for p, r in ours.ranks.items() if r < 700}
+    words = ["", "a", " the", "thethe", " reading", "été", "xqz zzz"]
+    got = {r.word: r.ids for r in bpe.fold_words(spark.createDataFrame([(w,) for w in words], "word string"), small).collect()}
+    assert got == {w: bpe.fold(w.encode(), small) if w else [] for w in words}
+
+
 def test_frame(spark, both):
     _, theirs = both
     texts = [None, "", "Hello world", "Hello world", "<|endoftext|> x" * 300]

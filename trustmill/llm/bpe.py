@@ -253,6 +253,26 @@ def encode_decode(docs: DataFrame, text: str = "text", vocabulary: str | None =
     return source.mapInArrow(run, schema)
 
 
+def fold_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word") -> DataFrame:
+    """words with ids: the merges folded by higher-order functions over each word's bytes, ranks in a literal map.
+
+    The form for small tables: a literal map is searched from its start for each pair, some 0.3 ms at 50,000 entries.
+    """
+    table = F.map_from_arrays(F.lit([p.hex() for p in ranks]), F.lit(list(ranks.values())))
+    raw = F.lower(F.hex(F.encode(F.col(word), "UTF-8")))
+    parts = F.when(F.length(raw) > 0, F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda i: F.substr(raw, 2 * i + 1, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+
+    def merge(acc, _):
+        n = F.size(acc)
+        pairs = F.zip_with(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), F.slice(acc, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.try_element_at(table, F.concat(a, b)))
+        at = F.array_position(pairs, F.array_min(pairs)).cast("int")
+        joined = F.concat(F.slice(acc, 1, F.greatest(at - 1, F.lit(0))), F.array(F.concat(F.get(acc, at - 1), F.get(acc, at))), F.slice(acc, at + 2, n))
+        return F.when(F.array_min(pairs).isNull(), acc).otherwise(joined)
+
+    whole = F.when(F.try_element_at(table, raw).isNotNull(), F.array(raw)).otherwise(F.aggregate(parts, parts, merge))
+    return words.withColumn("ids", F.transform(whole, lambda p: F.try_element_at(table, p)))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_decode(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
