@@ -254,7 +254,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fetched = texts.join(copies, (texts["text_key"] == copies["text_key"]) & texts["doc_id"].eqNullSafe(copies["id"])).select("node", "text")
     words = common.materialise(fetched.mapInArrow(_words, "node long, words binary").dropDuplicates(["node"]), "words")
     labels = spark.createDataFrame([], "node long, class long")
-    other = nodes.where("n > 0").select("node", F.posexplode("sketch").alias("j", "s")).select("node", F.xxhash64("j", "s").alias("second"))
+    # What a text can share with another: its sketches in buckets of two texts or more; SHARED of them at least for a further round.
+    several = rest.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= SHARED).select("node")
+    other = rest.join(several, "node").select("node", F.col("key").alias("second"))
     for level in range(SHARED):
         labels, rest = _rounds(rest, labels, words, least)
         if rest is None or level + 1 == SHARED or rest.isEmpty():
