@@ -74,6 +74,23 @@ def test_against_brute_force(spark, seed):
     assert sorted((str(r.doc_id), r.class_id, r.class_size) for r in got) == want
 
 
+def test_late_original(spark):
+    """Versions that align with their original, but not with each other, and come before it, are one class."""
+    rng = random.Random(3)
+    fresh = iter(range(10**6))
+    say = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    original = say(600)
+    texts = []
+    for i in range(12):
+        at = 20 + 45 * i
+        texts.append(original[:at] + say(rng.randint(121, 143)) + original[at:])
+    ids = [np.array([hash(w) & 0xFFFFFFFF for w in t], np.uint32) for t in (texts[0], texts[6], original)]
+    assert near_dup.similar(ids[0], ids[2]) and near_dup.similar(ids[1], ids[2]) and not near_dup.similar(ids[0], ids[1])
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, original])]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.class_id, r.class_size) for r in got) == [(0, 13)] * 13
+
+
 def test_empty(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string, class_id int")).count() == 0
 

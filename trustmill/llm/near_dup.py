@@ -2,14 +2,14 @@
 
 Words are runs of bytes above the space. Each 5-word shingle is labelled with its occurrence number in the
 text. Each of SKETCHES hash functions picks the DRAWN least labels, and keeps them in text order: a
-sketch. Texts that share a sketch are candidates. Candidates are compared in stars: each bucket's
-first text with all others of another class, then the first of those left over. What is left over after ROUNDS
-rounds is divided by a second shared sketch and by length, and compared again, then by a third: a pair in a bucket of many classes
-is a candidate if it shares SHARED sketches, any other if it shares one. A candidate link holds if the edit distance of the word sequences, by
-alignment in a band as wide as the distance allows, is at most 0.2 of the longer one.
+sketch. Texts that share a sketch are candidates. Candidates are compared in ROUNDS stars first: each bucket's
+first text with all others of another class, then the first of those left over. Then all members of a bucket that are of
+different classes are compared, in blocks of two groups of them; members of a class stay partners for those outside it.
+A candidate link holds if the edit distance of the word sequences, by
+alignment in a band as wide as the distance allows, is at most 0.2 of the longer one; lengths and common words bound it first.
 Classes are the connected components of links; equal texts are one node from the start.
 
-No bucket is ever gathered in a task: centres come from partial aggregates, members are joined to them.
+No bucket is ever gathered in a task: centres come from partial aggregates, members are joined to them, and blocks are bounded in rows and words.
 
 Defined cases: null counts as the empty text; all texts without words but equal are one class; texts of
 fewer than 7 words have one sketch of all their shingles, so they match equal word sequences only;
@@ -20,7 +20,6 @@ an empty table gives an empty table. Columns that clash with results are replace
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +33,10 @@ from .repeats import _mix, _tables, _U
 WORDS, SIMILAR = 5, 0.8
 #: At a shingle similarity of 0.8 two texts share one of 24 sketches of 3 with a probability over 0.9999999, at 0.6 of 0.997.
 SKETCHES, DRAWN = 24, 3
-#: Rounds of stars in buckets of texts that share one sketch, then two, ... up to SHARED. Texts of a shingle similarity of 0.8 share
-#: fewer than 3 of 24 sketches with a probability of 0.000004.
-ROUNDS, SHARED = 2, 3
+#: Rounds of stars in buckets before all their members of different classes are compared.
+ROUNDS = 2
+#: Rows and words of a group of bucket members; a block holds two groups. Bins in which a block counts words.
+GROUP_ROWS, GROUP_WORDS, BINS = 1024, 2 << 20, 512
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -215,8 +215,8 @@ def _classes(labels: DataFrame, found: DataFrame) -> DataFrame:
     return common.materialise(moved.join(merged.select(F.col("node").alias("old"), "class"), "old", "left").groupBy("node").agg(F.min(F.coalesce("class", "old")).alias("class")), "classes")
 
 
-def _rounds(rest: DataFrame, labels: DataFrame, words: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]:
-    """Compares bucket members (key, node, n) in stars. Returns labels, and the members left over, if any."""
+def _stars(rest: DataFrame, labels: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Compares bucket members (key, node, n) in ROUNDS stars, and returns labels: the cheap way to the classes that most members have in common."""
     for _ in range(ROUNDS):
         named = rest.join(labels, "node", "left").select("key", "node", "n", F.coalesce("class", "node").alias("class"))
         centres = named.groupBy("key").agg(F.min(F.struct("node", "n", "class")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "c")
@@ -224,7 +224,7 @@ def _rounds(rest: DataFrame, labels: DataFrame, words: DataFrame, least: float)
         near = F.least("n", "c.n") >= least * F.greatest("n", "c.n")
         pairs = common.materialise(pairs.select("key", "node", "n", F.col("c.node").alias("centre"), near.alias("near")), "pairs")
         if pairs.isEmpty():
-            return labels, None
+            break
         found = _compare(pairs.where("near").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), words, least)
         if not found.isEmpty():
             labels = _classes(labels, found)
@@ -232,8 +232,72 @@ def _rounds(rest: DataFrame, labels: DataFrame, words: DataFrame, least: float)
         own, of_centre = labels.select("node", F.col("class").alias("own")), labels.select(F.col("node").alias("centre"), F.col("class").alias("of_centre"))
         apart = pairs.join(own, "node", "left").join(of_centre, "centre", "left").where(F.coalesce("own", "node") != F.coalesce("of_centre", "centre"))
         rest = common.materialise(apart.select("key", "node", "n"), "rest")
-    several = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    return labels, rest.join(several, "key")
+    return labels
+
+
+def _every(members: DataFrame, labels: DataFrame, sketched: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Compares all bucket members (key, j, node, n) of different classes, and returns labels.
+
+    A bucket of g groups makes a block of each two groups and of each group with itself, so a task holds two groups at most.
+    """
+    named = members.join(labels, "node", "left").select("key", "j", "node", "n", F.coalesce("class", "node").alias("class"))
+    groups = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP_ROWS, F.sum("n") / GROUP_WORDS)).cast("int")
+    several = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), groups.alias("g")).where("low != high").select("key", "g")
+    own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
+    dealt = named.join(several, "key").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.select("key", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("second"), "own", "j", "node", "n", "class")
+    full = dealt.join(sketched, "node").join(words, "node").select("key", "first", "second", "own", "j", "node", "n", "class", "sketch", "words")
+    # Rows of a block stand together.
+    blocks = full.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
+    found = common.materialise(blocks.mapInArrow(_linked(least), "a long, b long").distinct(), "links")
+    return labels if found.isEmpty() else _classes(labels, found)
+
+
+def _linked(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                if held and (keys[start] != block).any():
+                    yield _block_links(pa.Table.from_batches(held), least)
+                    held = []
+                held.append(batch.slice(start, end - start))
+                block = keys[start]
+        if held:
+            yield _block_links(pa.Table.from_batches(held), least)
+
+    return run
+
+
+def _block_links(block: pa.Table, least: float) -> pa.RecordBatch:
+    """Pairs (a, b) that align, of those in a block that share its bucket's sketch and none before it; what links have joined is one class."""
+    block = block.take(pa.array(np.argsort(block["n"].to_numpy(), kind="stable")))
+    first, second, own, j, node, n, named = (block[c].to_numpy() for c in ("first", "second", "own", "j", "node", "n", "class"))
+    drawn = block["sketch"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES)
+    words = [np.frombuffer(w, np.uint32) for w in block["words"].to_pylist()]
+    most = ((1 - least) * n + 1e-9).astype(np.int64)
+    # Words counted by BINS of their hashes: what two texts have in common there bounds what they have in common at all.
+    counts = np.stack([np.bincount(w & np.uint32(BINS - 1), minlength=BINS) for w in words]).astype(np.int32)
+    across = first[0] != second[0]
+    links = []
+    for p in range(len(n)):
+        # Sorted by length, the others are the longer ones; those longer than the bound are at the end.
+        q = np.arange(p + 1, p + 1 + np.searchsorted(n[p + 1 :] - most[p + 1 :], n[p], "right"))
+        q = q[named[q] != named[p]]
+        if across:
+            q = q[own[q] != own[p]]
+        same = drawn[q] == drawn[p]
+        q = q[same[:, j[p]] & (same.argmax(1) == j[p])]
+        q = q[np.minimum(counts[q], counts[p]).sum(1) >= n[q] - most[q]]
+        for other in q.tolist():
+            if named[other] != named[p] and similar(words[p], words[other], least):
+                links.append((node[p], node[other]))
+                named = np.where(named == named[other], named[p], named)
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -245,28 +309,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     drawn = common.materialise(drawn, "sketches")
     nodes = drawn.groupBy("text_key").agg(F.min(F.struct("row", "n", "sketch")).alias("m")).select("text_key", F.col("m.row").alias("node"), F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch"))
     nodes = common.materialise(nodes, "nodes")
-    members = nodes.where("n > 0").select("node", "n", F.posexplode("sketch").alias("j", "s")).select(F.xxhash64("j", "s").alias("key"), "node", "n")
+    members = nodes.where("n > 0").select("node", "n", F.posexplode("sketch").alias("j", "s")).select(F.xxhash64("j", "s").alias("key"), "j", "node", "n")
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    rest: DataFrame | None = common.materialise(members.join(shared, "key"), "buckets")
+    buckets = common.materialise(members.join(shared, "key"), "buckets")
     # Of a text that has copies one is fetched.
-    copies = drawn.join(rest.select(F.col("node").alias("row")).distinct(), "row").select(F.col("row").alias("node"), F.col("doc_id").alias("id"), "text_key")
+    copies = drawn.join(buckets.select(F.col("node").alias("row")).distinct(), "row").select(F.col("row").alias("node"), F.col("doc_id").alias("id"), "text_key")
     texts = rows.withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     fetched = texts.join(copies, (texts["text_key"] == copies["text_key"]) & texts["doc_id"].eqNullSafe(copies["id"])).select("node", "text")
     words = common.materialise(fetched.mapInArrow(_words, "node long, words binary").dropDuplicates(["node"]), "words")
     labels = spark.createDataFrame([], "node long, class long")
-    # What a text can share with another: its sketches in buckets of two texts or more; SHARED of them at least for a further round.
-    several = rest.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= SHARED).select("node")
-    other = rest.join(several, "node").select("node", F.col("key").alias("second"))
-    for level in range(SHARED):
-        labels, rest = _rounds(rest, labels, words, least)
-        if rest is None or level + 1 == SHARED or rest.isEmpty():
-            break
-        # Divided by a further sketch, and by length: 0.8 apart are the bounds of a bin, and texts stand in their own and the next.
-        size = F.floor(F.log("n") / F.lit(-math.log(least))).cast("int")
-        divided = rest.join(other, "node").where("key != second").select((F.col("key").bitwiseXOR(F.col("second"))).alias("k"), "node", "n", F.explode(F.array(size, size + 1)).alias("bin"))
-        divided = divided.select(F.xxhash64("k", "bin").alias("key"), "node", "n").distinct()
-        several = divided.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-        rest = common.materialise(divided.join(several, "key"), "buckets")
+    labels = _stars(buckets.select("key", "node", "n"), labels, words, least)
+    labels = _every(buckets, labels, nodes.select("node", "sketch"), words, least)
     named = drawn.select("doc_id", "text_key").join(nodes.select("text_key", "node"), "text_key").join(labels, "node", "left").select("doc_id", "text_key", F.coalesce("class", "node").alias("class"))
     sizes = named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(sizes, "class").select("doc_id", "class_id", "class_size", "text_key", "class")
