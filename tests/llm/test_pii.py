@@ -56,5 +56,20 @@ def test_disclosing_terms(spark):
     assert clean[10] == rows[4][1] and clean[101] is None and clean[102] == ""
 
 
+def test_terms_far_from_their_entity(spark):
+    """A term goes wherever it stands in a text of its entity, and counts however far from it."""
+    far = "and so on with many more words of no weight"
+    rows = [(i, f"Zanzibar case {i} {far}, write to head@corp.com. We, {far}, heard: zanzibar replied {i}") for i in range(4)]
+    rows += [(4, f"We met {far} head@corp.com. Zanzibar {far} Zanzibar")]
+    rows += [(10 + i, f"Plain text {i} {far}, write to us. We heard, case replied") for i in range(60)]
+    rows += [(100, "Zanzibar is far from head@other.org")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("zanzibar" not in clean[i].lower() and "<EMAIL>" in clean[i] and far in clean[i] for i in range(5))
+    assert clean[100] == "Zanzibar is far from <EMAIL>" and clean[10] == rows[5][1]
+    found = {r.doc_id: {rows[r.doc_id][1][s.start : s.end] for s in r.spans if s.kind == 4} for r in pii.find(docs).where("doc_id < 5").collect()}
+    assert all(found[i] >= {"Zanzibar"} for i in range(5)) and "zanzibar" in found[0]
+
+
 def test_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0

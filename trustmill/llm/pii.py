@@ -1,12 +1,13 @@
 r"""Personal data, and information-theoretic sanitisation, in DataFrame operations only.
 
 Entities are the personal data found by pattern (email, ip, card, phone). How much a term tells of an entity is
-estimated from co-occurrence in the corpus: a term within NEAR words of an entity, in SUPPORT different texts at least,
-discloses it if their pointwise mutual information is DISCLOSURE or more of the information that the entity itself carries:
+estimated from co-occurrence in the corpus: a term that stands in SUPPORT different texts of an entity at least, at any place
+outside the entity itself, discloses it if their pointwise mutual information is DISCLOSURE or more of the information that the
+entity itself carries:
 
     log2(N n(t, e) / (n(t) n(e))) >= DISCLOSURE * log2(N / n(e))
 
-with n counting different texts. Such terms are spans, too (kind `term`), wherever they stand near that entity in a text.
+with n counting different texts. Such terms are spans, too (kind `term`), wherever they stand in a text that holds the entity.
 sanitise() generalises spans of entities to their kind (`<EMAIL>`) and removes terms.
 
 Matches are found leftmost, not overlapping for a kind; a match that fails its check is dropped without a second try. Offsets
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity; texts in which a term is near it; share of its information that discloses.
-NEAR, SUPPORT, DISCLOSURE = 4, 3, 0.8
+#: Texts in which a term is with an entity; share of the entity's information that discloses.
+SUPPORT, DISCLOSURE = 3, 0.8
 #: A side of a join is broadcast up to so many rows (a term or an entity hash each).
 BROADCAST_ROWS = 200_000
 #: Fixed patterns. Possessive forms of the documented ones: what follows a repeat can never be taken from it, so matches are
@@ -103,7 +104,7 @@ def small(df: DataFrame) -> DataFrame:
 _WORD = r"[\p{L}\p{N}_]+"
 
 
-def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None, near: int = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """docs (the columns to carry, by default all) with base (its entities) and spans (entities and disclosing terms): arrays of start, kind, end; kind 4 is a term.
 
     Texts are read three times, and only those with entities are ever moved.
@@ -112,53 +113,85 @@ def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None, ne
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__body"))
     body = F.col("__body")
     held = rows.withColumn("__found", base_spans(body))
-    # Words near entities, by place: cut out in code points around each span.
-    held = held.withColumn("__near", F.when(F.size("__found") > 0, F.transform("__found", lambda s: _around(body, s, near))))
-    held = common.materialise(held.withColumn("__digest", F.when(F.size("__found") > 0, F.md5(body))).drop("__body"), "entities")
-    pairs = held.where(F.size("__found") > 0).select("__row", "__digest", F.explode("__near").alias("x")).select("__row", "__digest", F.xxhash64("x.kind", "x.value").alias("entity"), F.explode("x.terms").alias("t"))
-    pairs = pairs.select("__row", "__digest", "entity", F.lower("t.value").alias("term"), "t.start", "t.end")
-    together = pairs.select("__digest", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    together = common.materialise(together, "together")
+    held = held.withColumn("__digest", F.when(F.size("__found") > 0, F.md5(body)))
+    # Texts of entities are kept, those of the others are not needed again.
+    held = common.materialise(held.withColumn("__body", F.when(F.size("__found") > 0, body)), "entities")
+    own = held.where(F.size("__found") > 0).select("__row", "__digest", "__body", "__found", F.explode(F.array_distinct(F.transform("__found", _entity))).alias("entity"))
     n_texts = rows.select(F.approx_count_distinct(body, 0.01)).first()[0]
     total = F.lit(float(max(n_texts, 1)))
-    # The most texts that a term may stand in and still disclose; no fewer than those in which it is near any entity.
-    of_entity = held.where(F.size("__found") > 0).select("__digest", F.explode("__found").alias("s")).select("__digest", F.xxhash64("s.kind", "s.value").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    seen = pairs.select("__digest", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
+    # An entity in fewer texts has no term in as many.
+    of_entity = own.select("__digest", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where((F.col("n_entity") >= support) & (F.col("n_entity") < total))
+    of_entity = common.materialise(of_entity, "repeated")
+    own = own.join(small(of_entity.select("entity")), "entity")
+    pairs = own.dropDuplicates(["__digest", "entity"]).select("__digest", "entity", F.explode(_terms(_masked(body, _of(F.col("entity"))))).alias("term"))
+    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    together = common.materialise(together, "together")
+    # The most texts that a term may stand in and still disclose; no fewer than those in which it is with any such entity.
+    seen = pairs.groupBy("term").agg(F.countDistinct("__digest").alias("seen"))
     most = F.col("both") * F.pow(total / F.col("n_entity"), F.lit(1 - disclosure))
-    told = together.join(of_entity, "entity").where(F.col("n_entity") < total).withColumn("most", most).join(seen, "term").where(F.col("seen") <= F.col("most"))
-    told = common.materialise(told.select("entity", "term", "both", "n_entity"), "told")
+    told = together.join(of_entity, "entity").withColumn("most", most).join(seen, "term").where(F.col("seen") <= F.col("most"))
+    told = common.materialise(told.select("entity", "term", "both", "n_entity", "seen"), "told")
     if not told.isEmpty():
         # n(t) of the terms in question, over different texts.
         terms = small(told.select("term").distinct())
-        corpus = rows.select(F.md5(body).alias("d"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(_WORD), F.lit(0)))).alias("term")).join(terms, "term")
+        corpus = rows.select(F.md5(body).alias("d"), F.explode(_terms(body)).alias("term")).join(terms, "term")
         of_term = corpus.groupBy("term").agg(F.approx_count_distinct("d", 0.01).alias("n_term"))
-        counted = told.join(of_term, "term")
-        shared = F.log2(total * F.col("both") / (F.greatest(F.col("both"), F.col("n_term")) * F.col("n_entity")))
-        own = F.log2(total / F.col("n_entity"))
-        disclosing = common.materialise(counted.where(shared >= disclosure * own).select("entity", "term"), "disclosing")
-        extra = pairs.join(small(disclosing), ["entity", "term"]).select("__row", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("s"))
+        # A word that is cut by an entity on all its places is none of the corpus.
+        counted = told.join(of_term, "term", "left").withColumn("n_term", F.greatest("seen", F.coalesce("n_term", F.lit(0))))
+        shared = F.log2(total * F.col("both") / (F.col("n_term") * F.col("n_entity")))
+        information = F.log2(total / F.col("n_entity"))
+        disclosing = counted.where(shared >= disclosure * information).groupBy("entity").agg(F.collect_set("term").alias("told"))
+        disclosing = common.materialise(disclosing, "disclosing")
+        extra = own.join(small(disclosing), "entity").select("__row", F.explode(_placed(_masked(body, _of(F.col("entity"))), F.col("told"))).alias("s"))
         extra = extra.groupBy("__row").agg(F.collect_set("s").alias("__terms"))
         held = held.join(extra, "__row", "left")
     else:
-        held = held.withColumn("__terms", F.lit(None).cast("array<struct<start:int,kind:int,end:int>>"))
+        held = held.withColumn("__terms", F.lit(None).cast(_SPANS))
     base = F.transform("__found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    every = F.array_sort(F.concat(base, F.coalesce("__terms", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
+    every = F.array_sort(F.concat(base, F.coalesce("__terms", F.array().cast(_SPANS))))
     return held.select(*[F.col(f"`{c}`") for c in rest], base.alias("base"), every.alias("spans"))
 
 
-def _around(body: Column, s: Column, near: int) -> Column:
-    """kind, value of an entity, and the words on either side of it: value, start, end of each."""
-    # As many code points as near words of usual length take, cut to whole words.
-    room = 16 * near
-    left = F.greatest(s["start"] - room, F.lit(0))
-    before, after = body.substr(left + 1, s["start"] - left), body.substr(s["end"] + 1, F.lit(room))
-    places = lambda part, offset: F.transform(_located(part, _WORD), lambda w: F.struct(w["value"].alias("value"), (w["start"] + offset).alias("start"), (w["end"] + offset).alias("end")))
-    first, second = places(before, left), places(after, s["end"])
-    # A word cut at the edge of the room is none.
-    whole_first = F.filter(first, lambda w: (w["start"] > left) | (left == 0))
-    whole_second = F.filter(second, lambda w: (w["end"] < s["end"] + room))
-    picked = F.concat(F.slice(F.reverse(whole_first), 1, near), F.slice(whole_second, 1, near))
-    return F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), picked.alias("terms"))
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _entity(s: Column) -> Column:
+    return F.xxhash64(s["kind"], F.lower(s["value"]))
+
+
+def _of(entity: Column) -> Column:
+    return F.filter("__found", lambda s: _entity(s) == entity)
+
+
+def _masked(body: Column, spans: Column) -> Column:
+    """body with blanks in place of spans: words end there, and places stay."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state, s):
+        gap = F.concat(body.substr(state["at"] + 1, s["start"] - state["at"]), F.repeat(F.lit(" "), s["end"] - s["start"]))
+        return F.struct(s["end"].alias("at"), F.concat(state["out"], gap).alias("out"))
+
+    done = F.aggregate(spans, start, step)
+    return F.concat(done["out"], body.substr(done["at"] + 1, F.length(body)))
+
+
+def _terms(body: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(_WORD), F.lit(0)), F.lower))
+
+
+def _placed(body: Column, terms: Column) -> Column:
+    """Spans of the words of body that are among terms."""
+    gaps, found = F.split(body, _WORD, -1), F.regexp_extract_all(body, F.lit(_WORD), F.lit(0))
+    empty = F.struct(F.lit(0).alias("at"), F.coalesce(F.lit(None).cast(_SPANS), F.array().cast(_SPANS)).alias("out"))
+
+    def step(state, x):
+        start = state["at"] + F.length(x["gap"])
+        end = start + F.length(x["value"])
+        span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end"))
+        # Arrays are copied for words found only.
+        return F.struct(end.alias("at"), F.when(F.array_contains(terms, F.lower(x["value"])), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value")), empty, step)["out"]
 
 
 def listed(spans: Column) -> Column:
