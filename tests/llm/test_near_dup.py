@@ -91,6 +91,19 @@ def test_late_original(spark):
     assert sorted((r.class_id, r.class_size) for r in got) == [(0, 13)] * 13
 
 
+def test_many_classes_in_a_bucket(spark):
+    """Near copies among many texts that are unlike but for a boilerplate, which alone has shingles in common with them."""
+    rng = random.Random(5)
+    fresh = iter(range(10**6))
+    say = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    shared = say(300)
+    own = [say(100) for _ in range(40)]
+    copies = [[w if k % 5 else f"x{rng.random()}" for k, w in enumerate(x)] for x in own[30:]]
+    rows = [(i, " ".join(shared + x)) for i, x in enumerate(own + copies)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.class_id, r.class_size) for r in got) == sorted([(i, 1) for i in range(30)] + [(i, 2) for i in range(30, 40)] * 2)
+
+
 def test_empty(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string, class_id int")).count() == 0
 
