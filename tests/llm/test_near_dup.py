@@ -1,9 +1,10 @@
+import os
 import random
 
 import numpy as np
 import pytest
 
-from trustmill.llm import graph, near_dup
+from trustmill.llm import common, graph, near_dup
 
 
 def levenshtein(x, y):
@@ -63,8 +64,7 @@ def test_against_brute_force(spark, seed):
     split = [(t or "").split() for _, t in rows]
     for i in range(len(rows)):
         for j in range(i):
-            long = min(len(split[i]), len(split[j])) >= 7
-            if (rows[i][1] or "") == (rows[j][1] or "") or (split[i] and split[i] == split[j]) or (long and abs(len(split[i]) - len(split[j])) <= 0.2 * max(len(split[i]), len(split[j])) and levenshtein(split[i], split[j]) <= 0.2 * max(len(split[i]), len(split[j]))):
+            if (rows[i][1] or "") == (rows[j][1] or "") or (split[i] and split[i] == split[j]) or (split[i] and split[j] and abs(len(split[i]) - len(split[j])) <= 0.2 * max(len(split[i]), len(split[j])) and levenshtein(split[i], split[j]) <= 0.2 * max(len(split[i]), len(split[j]))):
                 parent[root(i)] = root(j)
     groups = {}
     for i, r in enumerate(rows):
@@ -104,6 +104,55 @@ def test_many_classes_in_a_bucket(spark):
     assert sorted((r.class_id, r.class_size) for r in got) == sorted([(i, 1) for i in range(30)] + [(i, 2) for i in range(30, 40)] * 2)
 
 
+def test_short_texts(spark):
+    """Texts to which one edit is allowed are compared exactly, however few shingles they have."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(1, 9))]
+        texts.append(base)
+        if rng.random() < 0.7:
+            copy, at = list(base), rng.randrange(len(base))
+            kind = rng.randrange(3)
+            copy[at : at + (kind != 2)] = [] if kind == 1 else ["new"]
+            texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts) if len(t) <= 9]
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in rows:
+        for k, y in rows:
+            if i < k and levenshtein(x.split(), y.split()) <= int(0.2 * max(len(x.split()), len(y.split())) + 1e-9):
+                parent[max(root(i), root(k))] = min(root(i), root(k))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: root(i) for i in parent}
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(10)
+    long = [f"w{rng.randrange(5000)}" for _ in range(30000)]
+    copy = list(long)
+    for _ in range(300):
+        copy[rng.randrange(len(copy))] = "x"
+    rows = [(1, " ".join(long), 7, "k"), (2, " ".join(copy), 7, "k"), (3, " ".join(reversed(long)), 7, "k"), (4, None, 7, "k")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, class_id long, node string")).collect()
+    assert {r.doc_id: (r.class_id, r.class_size) for r in got} == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 1)}
+
+
+def test_scratch_tables_go(spark):
+    folder = common.shared_dir(spark)
+    before = set(os.listdir(folder))
+    got = near_dup.near_duplicates(spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g x")], "doc_id long, text string"))
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("near_duplicates-")
+    assert {r.class_size for r in got.collect()} == {2}
+
+
 def test_empty(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string, class_id int")).count() == 0
 
