@@ -26,7 +26,29 @@ def test_site_template(spark):
 
 
 def test_salted_join(spark, monkeypatch):
-    monkeypatch.setattr(H, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(H, "BROADCAST_HASHES", 0)
     rows = [(i, "https://a.example/", f"<body><div>Same on all pages</div><p>own {i}</p></body>") for i in range(8)]
     got = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: f"own {i}" for i in range(8)}
+
+
+def test_deep_and_long_pages():
+    """However deep a page is nested and whatever is left open, its text is there, in time in proportion to its length."""
+    for tag in ("div", "font", "p", "li", "td"):
+        for end in ("", f"</{tag}>" * 100_000, f"</{tag}><b></i>" * 50_000):
+            assert H.extract(f"<{tag}>" * 100_000 + "deep" + end + " after").split() == (["deep", "after"])
+    page = "<article>" + "".join(f"<p>word{i} more</p>" for i in range(50_000)) + "</article>"
+    assert H.extract(page).split()[::2] == [f"word{i}" for i in range(50_000)]
+
+
+def test_templates_alone(spark, monkeypatch):
+    """With the lists of tags and classes off, and no article to choose, counts by host take menus, notices and footers, also those seen once."""
+    monkeypatch.setattr(H, "_furniture", lambda node, inside: node.tag in H.RAW or node.tag == "head")
+    monkeypatch.setattr(H, "main_node", lambda root: root)
+    page = "<body><div id=n1><ul><li>{0}</ul></div><div class=w><p>Story {1} is like no other.<p>It ends {1}.</div><div class=z><p>Rights {0}</p></div></body>"
+    rows = [(i, f"https://a.example/{i}", page.format("Home" if i % 10 else f"Only {i}", i)) for i in range(40)]
+    rows += [(100 + i, "https://copies.example/", page.format("Same", 1)) for i in range(40)]
+    got = {r.page_id: r.text for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} is like no other. It ends {i}." for i in range(40))
+    # Copies of one page are one page.
+    assert all(got[100 + i] == "Same Story 1 is like no other. It ends 1. Rights Same" for i in range(40))

@@ -1,22 +1,27 @@
 """HTML extraction with removal of site templates.
 
 Pages are parsed into trees. Every block element's subtree is hashed (tag, class, id, text, children); Spark counts on how many
-pages of a host each hash stands. Subtrees that recur on MIN_PAGES pages and on MIN_SHARE of the host's pages are the site's template and
-go, together with what is furniture by its tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts, styles). Text blocks of an article or main element are its own words and stay, however often they recur.
+different pages of a host each hash stands (equal pages count once). Subtrees that recur on MIN_PAGES pages and on MIN_SHARE of the
+host's pages are the site's template. A slot, the path of tags, classes and ids from the root, filled on MIN_PAGES of a host's
+pages, is the template's too if most of what stands there also stands on another page: it goes even where it is seen once (menus
+and footers that vary from page to page). Furniture by tag, role or class goes as well (menus, headers, footers, sidebars, notices,
+adverts, forms, comments, scripts, styles): all that hosts of few pages have. Text blocks of an article or main
+element are its own words and stay, however often they recur, and no slot is made of what holds an article.
 
 The text is that of the article: the article element with most text, else the main element, else an
 element whose class or id says content, else the body. Blocks are joined by one space, white space in a block becomes one space.
 
 Defined cases: null, empty and unparsable html give the empty text; a null url has the empty host; when the template would take all
-of a page's text, the page keeps what furniture rules leave; repeated pages count each; pages cut off in the middle
-are closed at their end; an empty table gives an empty table. Columns that clash with results are replaced.
+of a page's text, the page keeps what furniture rules leave; repeated pages get a row each; pages cut off in the middle
+are closed at their end; elements nested deeper than DEPTH levels keep their text, but no rule is applied to them; an empty table
+gives an empty table. Columns that clash with results are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,10 +32,15 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: A template subtree stands on so many pages of its host at least, and on that share of them.
+#: A template subtree stands on so many pages of its host at least, and on that share of them. The share bounds the set: pages of
+#: so many elements each leave so many / MIN_SHARE hashes at most.
 MIN_PAGES, MIN_SHARE = 5, 0.05
-#: Hosts whose template sets are broadcast (each bounded by elements of a page / MIN_SHARE); beyond it they are joined, salted.
-BROADCAST_HOSTS, SALTS = 20_000, 32
+#: Share of what stands in a slot that recurs.
+SLOT_SHARE = 0.5
+#: Hashes that are broadcast (8 bytes each, and 100 a host); beyond it template sets are joined by host, salted.
+BROADCAST_HASHES, SALTS = 1_000_000, 32
+#: Levels of a tree.
+DEPTH = 256
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -55,10 +65,13 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"d
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "items", "up", "size", "hash")
+    __slots__ = ("tag", "names", "role", "hidden", "items", "up", "size", "hash", "slot", "depth", "holds")
 
     def __init__(self, tag: str, attributes: str, up: Node | None):
-        self.tag, self.up, self.items, self.size, self.hash = tag, up, [], 0, 0
+        self.tag, self.up, self.size, self.hash, self.slot, self.holds = tag, up, 0, 0, 0, False
+        self.depth = up.depth + 1 if up else 0
+        #: Nodes, strings, and None where a block ends. What lies too deep shares the list of the last that does not.
+        self.items: list = up.items if up and self.depth > DEPTH else []
         self.names: frozenset[str] | tuple = ()
         self.role, self.hidden = "", False
         if attributes and "=" in attributes or "hidden" in attributes:
@@ -76,9 +89,22 @@ class Node:
 
 
 def parse(html: str) -> Node:
-    """A tree; items of a node are nodes and strings."""
+    """A tree of DEPTH levels at most."""
     root = here = Node("#root", "", None)
     at, n = 0, len(html)
+    opened: Counter[str] = Counter()  # so that nothing is looked for in vain
+
+    def leave(node: Node) -> Node:
+        """Closes all from here up to node."""
+        x = here
+        while True:
+            opened[x.tag] -= 1
+            if x.depth > DEPTH and x.tag in BLOCK:
+                x.items.append(None)
+            if x is node:
+                return node.up
+            x = x.up
+
     while at < n:
         m = _TOKEN.search(html, at)
         if not m:
@@ -92,23 +118,23 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            node = here
-            while node.up is not None and node.tag != tag:
-                node = node.up
-            if node.up is not None:
-                here = node.up
+            if opened[tag] > 0:
+                node = here
+                while node.tag != tag:
+                    node = node.up
+                here = leave(node)
             elif tag == "p":
-                here.items.append(Node("p", "", here))
+                here.items.append(Node("p", "", here) if here.depth < DEPTH else None)
             elif tag == "br":
                 here.items.append(" ")
             continue
-        if tag in BLOCK:  # ends an open paragraph
+        if tag in BLOCK and opened["p"] > 0:  # ends an open paragraph
             node = here
-            while node.up is not None and node.tag not in BLOCK:
+            while node.tag not in BLOCK:
                 node = node.up
             if node.tag == "p":
-                here = node.up
-        if tag in _CLOSES:
+                here = leave(node)
+        if tag in _CLOSES and any(opened[x] > 0 for x in _CLOSES[tag][0]):
             closed, within = _CLOSES[tag]
             node, last = here, None
             while node.up is not None and node.tag not in within:
@@ -116,9 +142,12 @@ def parse(html: str) -> Node:
                     last = node
                 node = node.up
             if last is not None:
-                here = last.up
+                here = leave(last)
         node = Node(tag, m[3], here)
-        here.items.append(node)
+        if node.depth <= DEPTH:
+            here.items.append(node)
+        elif tag in BLOCK or tag == "br":
+            here.items.append(None if tag in BLOCK else " ")
         if tag in VOID:
             continue
         if tag in RAW:
@@ -131,6 +160,7 @@ def parse(html: str) -> Node:
             continue
         if not m[3].rstrip().endswith("/") or tag in BLOCK:
             here = node
+            opened[tag] += 1
     return root
 
 
@@ -146,14 +176,16 @@ def _furniture(node: Node, inside: bool) -> bool:
 
 
 def prune(node: Node, inside: bool = False, template: frozenset[int] | set[int] = frozenset()) -> None:
-    """Takes out furniture and template, and counts the characters of text left under each node."""
+    """Takes out furniture and template (hashes of subtrees and of slots), and counts the characters of text left under each node."""
     inside = inside or node.tag in ("article", "main")
     kept = []
     for x in node.items:
         if isinstance(x, str):
             node.size += len(x) - x.count(" ")
             kept.append(x)
-        elif _furniture(x, inside) or (x.hash in template and not (inside and x.tag in WORDS)):
+        elif x is None:
+            kept.append(None)
+        elif _furniture(x, inside) or (template and (x.hash in template or x.slot in template) and not (inside and x.tag in WORDS)):
             if x.tag in BLOCK:
                 kept.append(None)  # still parts blocks
         else:
@@ -163,21 +195,29 @@ def prune(node: Node, inside: bool = False, template: frozenset[int] | set[int]
     node.items = kept
 
 
-def hash_subtrees(node: Node, found: list[int] | None = None) -> list[int]:
-    """Gives block elements with text a hash of their subtree; html, body, article and main only pass on. Text blocks in an article get one, too."""
+def _digest(parts: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b("\1".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) or 1
+
+
+def hash_subtrees(node: Node, found: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Gives block elements with text a hash of their subtree, and of their slot unless they hold an article; html, body, article and main only pass on.
+    found: both, 0 for no slot."""
     found = [] if found is None else found
-    parts = [node.tag, " ".join(sorted(node.names))]
+    names = " ".join(sorted(node.names))
+    parts = [node.tag, names]
+    node.slot = _digest([str(node.up.slot if node.up else 0), node.tag, names])
     for x in node.items:
         if isinstance(x, str):
             if text := " ".join(x.split()):
                 parts.append(text)
-        elif x.tag not in RAW and x.tag not in VOID:
+        elif x is not None and x.tag not in RAW and x.tag not in VOID:
             hash_subtrees(x, found)
+            node.holds |= x.holds or x.tag in ("article", "main")
             parts.append(f"\0{x.hash}")
     if len(parts) > 2 or node.names:
-        node.hash = int.from_bytes(hashlib.blake2b("\1".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) or 1
+        node.hash = _digest(parts)
         if node.tag in BLOCK and node.tag not in ("html", "body", "head", "article", "main") and len(parts) > 2:
-            found.append(node.hash)
+            found.append((node.hash, 0 if node.holds else node.slot))
     return found
 
 
@@ -229,7 +269,7 @@ def blocks(node: Node) -> list[str]:
 
 
 def extract(html: str | None, template: set[int] = frozenset()) -> str:
-    """The main text of a page; template holds hashes of subtrees that go."""
+    """The main text of a page; template holds hashes of subtrees and of slots that go."""
     if not html:
         return ""
 
@@ -247,34 +287,42 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hashes: the subtrees that recur on each host's pages. Counts are combined before they are dealt out."""
+def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, slot_share: float = SLOT_SHARE) -> DataFrame:
+    """host, hashes: the subtrees that recur on each host's pages, and the slots where most do. A page's rows are combined before they are dealt out by hash, so a host of
+    a large share of all pages is no hot key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
+            hosts, found, keys = [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                some = {0, *hash_subtrees(parse(page or ""))}  # 0 counts pages
+                page = page or ""
+                some = {(0, 0), *hash_subtrees(parse(page))}  # 0 counts pages
                 hosts += [host] * len(some)
                 found += some
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "h"])
+                keys += [_digest([page])] * len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)), pa.array(keys, pa.int64())], names=["host", "h", "slot", "page"])
 
-    counts = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html")).mapInArrow(run, "host string, h long").groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    counts = common.materialise(counts, "subtrees")
-    total = counts.where("h = 0").select("host", F.col("n").alias("total"))
-    # The bound: a page of so many elements adds so many hashes, and min_share of the pages are needed for one to stay.
-    return counts.where("h != 0").join(total, "host").where(F.col("n") >= min_share * F.col("total")).groupBy("host").agg(F.collect_list("h").alias("hashes"))
+    seen = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").cast("string").alias("html")).mapInArrow(run, "host string, h long, slot long, page long")
+    # Equal pages count once.
+    counts = common.materialise(seen.distinct().groupBy("host", "h", "slot").agg(F.count(F.lit(1)).alias("n")), "subtrees")
+    total = counts.where("h = 0").select("host", F.col("n").alias("total")).where(F.col("total") >= min_pages)
+    often = counts.where("h != 0").groupBy("host", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
+    subtrees = often.join(total, "host").where(F.col("n") >= min_share * F.col("total")).select("host", "h")
+    slots = counts.where("slot != 0").groupBy("host", F.col("slot").alias("h")).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("n")).where((F.col("all") >= min_pages) & (F.col("n") >= slot_share * F.col("all"))).select("host", "h")
+    return subtrees.union(slots).groupBy("host").agg(F.collect_set("h").alias("hashes"))
 
 
 def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Adds text and n_chars to pages (without html)."""
     spark = pages.sparkSession
     common.tune(spark)
-    sets = common.materialise(templates(pages, url, html), "templates")
+    with common.scratch(spark):
+        sets = common.materialise(templates(pages, url, html), "templates", keep=True)
     new = ("text", "n_chars")
     rest = [c for c in pages.columns if c.lower() not in (*new, html.lower())]
-    rows = pages.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{html}`").alias("__html"), host_of(F.col(f"`{url}`")).alias("__host"))
-    if sets.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    rows = pages.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{html}`").cast("string").alias("__html"), host_of(F.col(f"`{url}`")).alias("__host"))
+    weight = sets.agg(F.sum(F.size("hashes") + 13)).first()[0] or 0
+    if weight <= BROADCAST_HASHES:
         joined = rows.join(F.broadcast(sets.withColumnRenamed("host", "__host")), "__host", "left")
     else:
         salted = sets.select(F.col("host").alias("__host"), "hashes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
