@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trustmill.llm import pii
 
+KINDS = list(pii.KINDS)
 DOCUMENTED = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -71,5 +73,96 @@ def test_terms_far_from_their_entity(spark):
     assert all(found[i] >= {"Zanzibar"} for i in range(5)) and "zanzibar" in found[0]
 
 
+WORD = re.compile(r"[^\W]+")
+
+
+def brute(rows, support, disclosure):
+    """Spans of disclosing terms of each row, from the definition."""
+    def found(text):
+        return [(KINDS[k], text[a:b], a, b) for a, k, b in expected(text)]
+
+    def entities(text):
+        out = set()
+        for kind, value, _, _ in found(text):
+            v, digits = value.lower(), re.sub("[^0-9]", "", value)
+            out |= {(kind, v), (kind + " group", {"email": v.split("@")[-1], "ip": ".".join(v.split(".")[:2]), "card": digits[:6], "phone": digits[:5]}[kind])}
+        return out
+
+    def masked(text):
+        for _, _, a, b in found(text):
+            text = text[:a] + " " * (b - a) + text[b:]
+        return text
+
+    texts = {r[1] or "" for r in rows}
+    held = {t: entities(t) for t in texts}
+    words = {t: {w.lower() for w in WORD.findall(masked(t))} for t in texts}
+    plain = {t: {w.lower() for w in WORD.findall(t)} for t in texts}
+    told = {}
+    for e in set().union(*held.values()):
+        own = [t for t in texts if e in held[t]]
+        if len(own) < len(texts):
+            for w in set().union(*(words[t] for t in own)):
+                both = sum(w in words[t] for t in own)
+                n_t = max(sum(w in words[t] for t in texts if held[t]), sum(w in plain[t] for t in texts))
+                if both >= support and math.log2(len(texts) * both / (n_t * len(own))) >= disclosure * math.log2(len(texts) / len(own)) - 1e-12:
+                    told.setdefault(e, set()).add(w)
+    out = {}
+    for i, text in [(r[0], r[1] or "") for r in rows]:
+        some = set().union(*(told.get(e, set()) for e in held[text]), set())
+        out[i] = sorted((m.start(), m.end()) for m in WORD.finditer(masked(text)) if m[0].lower() in some)
+    return out
+
+
+def test_term_spans_against_brute_force(spark):
+    rng = random.Random(12)
+    common_words = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(120):
+        words = [rng.choice(common_words) for _ in range(rng.randint(1, 25))]
+        kind = rng.randrange(6)
+        if kind < 2:
+            words[rng.randrange(len(words))] = f"{rng.choice('abc')}@{rng.choice(['one.org', 'two.org', 'three.org'])}"
+            words += rng.sample(["Étoile", "harbour", "quay"], kind + 1)
+        if kind == 2:
+            words += [f"10.{rng.randrange(3)}.0.{rng.randrange(3)}", f"site{rng.randrange(4)}"]
+        if kind == 3:
+            words += ["+49 30 1234567" + str(rng.randrange(3)), "berlin", "4111 1111 1111 1111"]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += [(200, rows[0][1]), (201, None), (202, ""), (203, "a@one.org")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, found int, row int, body int, told int")
+    got = {r.doc_id: sorted((s.start, s.end) for s in r.spans if s.kind == 4) for r in pii.find(docs).collect()}
+    want = brute(rows, pii.SUPPORT, pii.DISCLOSURE)
+    assert got == want and sum(map(bool, want.values())) > 10
+
+
+def test_counts_in_sql(spark):
+    """The counts behind the estimate, against plain SQL over words."""
+    rows = [(i, f"case {i % 7} of x{i % 3} at u{i % 4}@host{i % 2}.org") for i in range(40)] + [(100 + i, f"case {i % 7} of x{i % 3}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text as body")
+    held = docs.withColumn("found", pii.base_spans(F.col("body"))).withColumn("digest", F.md5("body"))
+    got, total = pii.counts(docs, held, 2, 0.0)
+    docs.createOrReplaceTempView("texts")
+    want = spark.sql(r"""
+        WITH d AS (SELECT DISTINCT body FROM texts), w AS (SELECT DISTINCT body, explode(split(regexp_replace(body, ' at \\S+', ' at'), ' ')) AS term FROM d),
+        e AS (SELECT body, regexp_extract(body, '@(\\S+)', 1) AS host FROM d WHERE body LIKE '%@%'),
+        b AS (SELECT host, term, count(*) AS both FROM e JOIN w USING (body) GROUP BY host, term HAVING count(*) >= 2),
+        n AS (SELECT host, count(*) AS n_entity FROM e GROUP BY host), t AS (SELECT term, count(*) AS n_term FROM w GROUP BY term)
+        SELECT * FROM b JOIN n USING (host) JOIN t USING (term)""").collect()
+    assert total == spark.sql("SELECT count(DISTINCT body) FROM texts").first()[0] and want
+    hosts = {x: F.xxhash64(F.lit(4), F.lit(x)) for x in {r.host for r in want}}
+    keys = {x: spark.range(1).select(c).first()[0] for x, c in hosts.items()}
+    have = {(r.entity, r.term): (r.both, r.n_entity, r.n_term) for r in got.collect()}
+    assert all(have[keys[r.host], r.term] == (r.both, r.n_entity, r.n_term) for r in want)
+
+
+def test_overlapping_spans(spark):
+    row = spark.createDataFrame([("ab 4111111111111111.1.2.3 and x",)], "t string")
+    body = F.col("t")
+    spans = "array(named_struct('start', 3, 'kind', 2, 'end', 19), named_struct('start', 10, 'kind', 1, 'end', 25), named_struct('start', 26, 'kind', 4, 'end', 29))"
+    assert row.select(pii.sanitised(body, F.expr(spans))).first()[0] == "ab <CARD>  x"
+    assert row.select(pii._masked(body, F.expr(spans))).first()[0] == "ab" + " " * 28 + "x"
+
+
 def test_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0

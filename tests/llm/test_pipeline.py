@@ -33,6 +33,36 @@ def test_stages(spark, tmp_path):
     assert kept["byte_bpe"] == kept["pii"] == kept["decontamination"]
 
 
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, no benchmark, null ids and texts, repeated rows that differ in other columns, a very long text, clashing names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, class string, told string, score double, stay_id long"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"word{i}" for i in range(60000))
+    rows = [(1, "a text of some words that is its own", "en", "s", 1, "c", "t", 0.5, 1), (1, "a text of some words that is its own", "en", "r", 1, "c", "t", 0.5, 1), (None, "no id but words write to a@b.org", None, "s", 1, "c", "t", 0.5, 1)]
+    rows += [(2, None, "en", "s", 0, "c", "t", 0.5, 1), (3, "", "en", "s", 0, "c", "t", 0.5, 1), (4, long, "en", "s", len(long), "c", "t", 0.5, 1)]
+    for table in (rows, rows[::-1], []):
+        docs = spark.createDataFrame(table, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = common.materialise(stage(spark, docs, str(tmp_path)), "t")
+            if name != "byte_bpe":
+                assert out.columns == docs.columns
+                docs = out
+        held = {r.doc_id: r for r in docs.collect()}
+        assert sorted(held, key=str) == ([1, 4, None] if table else [])
+        if table:
+            assert held[4].text == long and held[None].text.endswith("write to <EMAIL>") and held[1].source in "rs"
+            seen = [held[1].source] if table is rows else [*seen, held[1].source]
+    assert len(set(seen)) == 1
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, f"text {i} of words {i} and more", "en", "s", 1) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(os.listdir(common.shared_dir(spark)))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(common.shared_dir(spark))) - before} == {f"stage-{n}" for n, _ in corpus_pipeline.STAGES[:-1]}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100

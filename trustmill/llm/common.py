@@ -44,7 +44,7 @@ _OPEN: list[list[str]] = []
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables materialised within are deleted at its end, but those kept; what is returned from it must read kept tables only."""
+    """Tables materialised within are deleted at its end; those kept are left to the scope around it, or stay. What is returned from it must read kept tables only."""
     _OPEN.append([])
     try:
         yield
@@ -63,8 +63,8 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df to the shared folder as Parquet and reads it back: lineage ends there, lost executors recompute nothing above."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _OPEN and not keep:
-        _OPEN[-1].append(path)
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -43,7 +43,7 @@ def token_table(docs: DataFrame, text: str) -> DataFrame:
     """row, words and the other columns of docs, stored: the forward form of the positional index."""
     rest = [c for c in docs.columns if c != text]
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], words(F.col(f"`{text}`")).alias("__words"))
-    return common.materialise(rows, "tokens")
+    return common.materialise(rows, "tokens", keep=True)
 
 
 def item_windows(items: DataFrame, window: int, item_id: str, text: str) -> DataFrame:
@@ -90,15 +90,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_i
     """Adds n_words, n_hit, n_items, items_sha256, contaminated to docs (without its text); with spans, also hit_spans: [start, end) in words of each occurrence."""
     rest = [c for c in docs.columns if c != text]
     new = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(("hit_spans",) if spans else ()))
-    tokens = token_table(docs, text)
-    windows = common.materialise(item_windows(items, window, item_id, item_text), "windows")
-    found = common.materialise(matches(tokens, windows, window), "hits")
-    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["length"] - 1))))
-    places = found.groupBy("__row").agg(F.collect_set(F.struct("start", "length")).alias("places"))
-    hits = places.select("__row", F.size(covered).cast("long").alias("n_hit"), F.transform(F.array_sort("places"), lambda p: F.struct(p["start"].alias("start"), (p["start"] + p["length"]).alias("end"))).alias("hit_spans"))
-    named = found.select("__row", "window_key").distinct().join(small(windows.select("window_key", "item")), "window_key").select("__row", "item").distinct()
-    of_items = named.groupBy("__row").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
-    out = tokens.select("__row", *[f"c{i}" for i in range(len(rest))], F.size("__words").cast("long").alias("n_words")).join(hits, "__row", "left").join(of_items, "__row", "left")
+    with common.scratch(docs.sparkSession):
+        tokens = token_table(docs, text)
+        windows = common.materialise(item_windows(items, window, item_id, item_text), "windows")
+        found = common.materialise(matches(tokens, windows, window), "hits")
+        covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["length"] - 1))))
+        places = found.groupBy("__row").agg(F.collect_set(F.struct("start", "length")).alias("places"))
+        hits = places.select("__row", F.size(covered).cast("long").alias("n_hit"), F.transform(F.array_sort("places"), lambda p: F.struct(p["start"].alias("start"), (p["start"] + p["length"]).alias("end"))).alias("hit_spans"))
+        named = found.select("__row", "window_key").distinct().join(small(windows.select("window_key", "item")), "window_key").select("__row", "item").distinct()
+        of_items = named.groupBy("__row").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+        of_rows = common.materialise(hits.join(of_items, "__row"), "hit_rows", keep=True)
+    out = tokens.select("__row", *[f"c{i}" for i in range(len(rest))], F.size("__words").cast("long").alias("n_words")).join(of_rows, "__row", "left")
     zero = F.lit(0).cast("long")
     done = {
         "n_words": F.col("n_words"), "n_hit": F.coalesce("n_hit", zero), "n_items": F.coalesce("n_items", zero),
