@@ -41,7 +41,7 @@ def test_archives(tmp_path):
 
 
 def test_scan_fences_checks(spark, monkeypatch):
-    def broken(df, label):
+    def broken(df, label, context):
         raise RuntimeError("no")
 
     monkeypatch.setitem(scan.REGISTRY["stats"], "broken", broken)
@@ -52,7 +52,7 @@ def test_scan_fences_checks(spark, monkeypatch):
 
 def test_cli_and_report(spark, tmp_path, capsys):
     (tmp_path / "d.jsonl").write_text("".join(json.dumps({"text": f"a perfectly ordinary sentence number {i}", "label": i % 2}) + "\n" for i in range(40)))
-    code = cli.main(["scan", "--dataset", str(tmp_path / "d.jsonl"), "--mode", "all", "--report", str(tmp_path / "r")])
+    code = cli.main(["scan", "--dataset", str(tmp_path / "d.jsonl"), "--mode", "sanity", "--report", str(tmp_path / "r")])
     out = json.loads(capsys.readouterr().out)
     assert code == 0 and out["decision"] == "ALLOW"
     assert sinks.read_reports(spark, str(tmp_path / "r" / "*.json")).count() == len(out["results"])

@@ -13,7 +13,7 @@ WEIGHTS = {
     "ldap_injection": 0.60, "pii": 0.55, "data_poisoning": 0.65, "malware_pattern": 0.90, "schema": 0.35, "quality": 0.25, "unknown": 0.20,
 }
 MULTIPLIERS = {"BLOCK": 1.0, "REVIEW": 0.7, "WARN": 0.4, "INFO": 0.2}
-ALWAYS_BLOCK = ("secret",)
+ALWAYS_BLOCK = ("secret", "malware_pattern")
 REVIEW, BLOCK, MOST = 0.35, 0.70, 1.0
 RANKS = {"ALLOW": 0, "REVIEW": 1, "BLOCK": 2}
 

@@ -64,3 +64,45 @@ def class_thresholds(df: DataFrame, label: str, score: str, q: float = 0.95, lea
 
 def severity_decision(severity):
     return F.when(severity == "critical", "BLOCK").when(severity.isin("warning", "low"), "REVIEW").otherwise("ALLOW")
+
+
+def severity_risk(severity, score):
+    """A finding's risk by its severity: critical at 0.7 at least, warnings between 0.35 and 0.7."""
+    return F.when(severity == "critical", F.greatest(F.lit(0.7), F.least(F.lit(1.0), score))).when(severity.isin("warning", "low"), F.greatest(F.lit(0.35), F.least(F.lit(0.69), score))).otherwise(F.lit(0.0))
+
+
+def expected_poisoned(version, clean: int = 4):
+    """Whether a version of a dataset is poisoned: all but the clean one."""
+    return F.coalesce(version != clean, F.lit(True))
+
+
+def combined_decision(a, b):
+    """The stronger of two decisions."""
+    rank = lambda d: F.when(d == "BLOCK", 2).when(d == "REVIEW", 1).otherwise(0)
+    return F.element_at(F.array(F.lit("ALLOW"), F.lit("REVIEW"), F.lit("BLOCK")), F.greatest(rank(a), rank(b)) + 1)
+
+
+#: Threats by parts of their names.
+THREATS = {"poison": ("poison", "backdoor", "trigger"), "injection": ("inject", "jailbreak", "prompt"), "code": ("exec", "eval", "pickle", "shell", "import"), "leak": ("secret", "credential", "pii", "token")}
+
+
+def threat_counts(df: DataFrame, text: str) -> DataFrame:
+    """threat, n: rows whose text has a part of the threat's names."""
+    lower = F.lower(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    row = df.agg(*[F.coalesce(F.sum(_any(lower, parts).cast("long")), F.lit(0)).alias(k) for k, parts in THREATS.items()])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("threat"), F.col(k).alias("n")) for k in THREATS])).alias("x")).select("x.*")
+
+
+def _any(text, parts):
+    out = F.lit(False)
+    for p in parts:
+        out = out | text.contains(p)
+    return out
+
+
+def layer_roll_up(results: DataFrame, by: list[str]) -> DataFrame:
+    """by, category, status, n_bad, n_skipped over (category, status, decision): the worst status of a layer; an explicit decision comes before it."""
+    explicit = F.max(F.when(F.col("decision") == "BLOCK", 2).when(F.col("decision") == "REVIEW", 1).when(F.col("decision") == "ALLOW", 0))
+    worst = F.max(F.when(F.col("status") == "FAILED", 2).when(F.col("status") == "HAND_CHECK", 1).otherwise(0))
+    out = results.groupBy(*by, "category").agg(F.coalesce(explicit, worst).alias("r"), F.count_if(F.col("status").isin("FAILED", "HAND_CHECK")).alias("n_bad"), F.count_if(F.col("status") == "SKIPPED").alias("n_skipped"))
+    return out.select(*by, "category", F.element_at(F.array(F.lit("ALLOW"), F.lit("REVIEW"), F.lit("BLOCK")), F.col("r") + 1).alias("decision"), "n_bad", "n_skipped")

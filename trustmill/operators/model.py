@@ -79,6 +79,34 @@ def rpp(df: DataFrame, key: str, vector: str, net: list[tuple[np.ndarray, np.nda
     return df.select(F.col(key).alias("key"), F.col(vector).alias("vector")).mapInPandas(run, "key long, score double")
 
 
+def score_rows(df: DataFrame, net: list[tuple[np.ndarray, np.ndarray]], spread: np.ndarray) -> DataFrame:
+    """key, label, hidden, score (of rpp()) of rows (key, label, vector), in one pass."""
+    shipped = df.sparkSession.sparkContext.broadcast((net, np.asarray(spread, float)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        net, spread = shipped.value
+        for f in frames:
+            x = np.stack(f["vector"].to_numpy()).astype(float)
+            h, base = forward(x, net)
+            noise = np.stack([np.random.default_rng(abs(int(k))).normal(0, 1, (RPP_RUNS, x.shape[1])) for k in f["key"]])
+            moved = [np.abs(forward(x + RPP_NOISE * spread * noise[:, r], net)[1] - base).max(1) for r in range(RPP_RUNS)]
+            yield pd.DataFrame({"key": f["key"], "label": f["label"], "hidden": list(h), "score": -np.mean(moved, 0)})
+
+    return df.select("key", "label", "vector").mapInPandas(run, "key long, label string, hidden array<double>, score double")
+
+
+def score_both(df: DataFrame, old: list[tuple[np.ndarray, np.ndarray]], new: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """old, new: the probabilities that two models give each row (vector)."""
+    shipped = df.sparkSession.sparkContext.broadcast((old, new))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x = np.stack(f["vector"].to_numpy()).astype(float)
+            yield pd.DataFrame({n: list(forward(x, net)[1]) for n, net in zip(("old", "new"), shipped.value, strict=True)})
+
+    return df.select("vector").mapInPandas(run, "old array<double>, new array<double>")
+
+
 def total_variation(df: DataFrame, old: str, new: str) -> DataFrame:
     """n, n_flipped, share, median_flipped, decision from two probability arrays of each row; the shorter is padded with zeros."""
     size = F.greatest(F.size(old), F.size(new))
@@ -91,31 +119,36 @@ def total_variation(df: DataFrame, old: str, new: str) -> DataFrame:
 
 def _inverse_root(c: np.ndarray) -> np.ndarray:
     w, v = np.linalg.eigh(c)
-    return (v / np.sqrt(np.maximum(w, 1e-8))) @ v.T
+    return (v / np.sqrt(np.maximum(w, 1e-6))) @ v.T
 
 
 def _que(x: np.ndarray) -> np.ndarray:
-    w, v = np.linalg.eigh(np.cov(x.T, bias=True).reshape(x.shape[1], -1))
+    """Quantum-entropy scores of whitened rows, by the eigenvectors of their second moments about zero."""
+    w, v = np.linalg.eigh(x.T @ x / len(x))
+    projected = (x @ v) ** 2
     if w[-1] - 1 < 0.02:
-        return (x**2).sum(1)
+        return projected.sum(1)
     q = np.exp(np.clip(ALPHA * (w - 1) / (w[-1] - 1), -50, 50))
-    return ((x @ v) ** 2 @ q) / q.sum()
+    return projected @ q / q.sum()
 
 
 def spectre_class(x: np.ndarray) -> np.ndarray:
-    """Quantum-entropy scores of a class after robust whitening, refined on its inliers."""
+    """Quantum-entropy scores of a class after robust whitening, refined on its inliers; zeros for a class too small."""
     n, d = x.shape
+    k = min(64, d, max(1, n // 2))
+    if n < SPECTRE_LEAST or k < 2:
+        return np.zeros(n)
     x = x - x.mean(0)
-    k = max(1, min(64, d, n // 2))
     x = x @ np.linalg.svd(x, full_matrices=False)[2][:k].T
     middle = np.median(x, 0)
-    mad = 1.4826 * np.median(np.abs(x - middle), 0)
-    score = _que((x - middle) / np.maximum(mad, 1e-8))
-    keep = max(2, int((1 - 1.5 * EPSILON) * n))
+    score = _que((x - middle) / np.maximum(1.4826 * np.median(np.abs(x - middle), 0), 1e-9))
+    keep = min(n, max(k + 1, round((1 - 1.5 * EPSILON) * n)))
     inliers = np.sort(np.argsort(score, kind="stable")[:keep])
     for _ in range(SPECTRE_ROUNDS - 1):
-        white = (x - x[inliers].mean(0)) @ _inverse_root(np.cov(x[inliers].T, bias=True).reshape(k, k))
-        score = _que(white)
+        if keep <= k:
+            break
+        held = x[inliers]
+        score = _que((x - held.mean(0)) @ _inverse_root(np.cov(held, rowvar=False).reshape(k, k)))
         new = np.sort(np.argsort(score, kind="stable")[:keep])
         if np.array_equal(new, inliers):
             break
@@ -174,10 +207,15 @@ def class_scores(df: DataFrame, key: str, vector: str, label: str, method: str)
 
 
 def calibrated_gate(clean: np.ndarray, scores: np.ndarray, seed: int = 0) -> dict:
-    """Share of scores above the upper bootstrap bound of the clean 0.99 quantile."""
+    """Share of scores above the upper bootstrap bound of the clean 0.99 quantile; of fewer than 10 clean scores the largest is the bound, of none nothing is above."""
+    clean = np.asarray(clean, float)
+    clean = clean[~np.isnan(clean)]
     rng = np.random.default_rng(seed)
-    bound = float(np.quantile([np.quantile(rng.choice(clean, len(clean)), CLEAN_Q) for _ in range(CLEAN_RUNS)], CLEAN_BOUND))
-    share = float((scores > bound).mean())
+    if len(clean) < 10:
+        bound = float(clean.max()) if len(clean) else float("inf")
+    else:
+        bound = float(np.quantile([np.quantile(rng.choice(clean, len(clean)), CLEAN_Q) for _ in range(CLEAN_RUNS)], CLEAN_BOUND))
+    share = float((scores > bound).mean()) if len(scores) else 0.0
     return {"threshold": bound, "share": share, "status": "BLOCK" if share >= SHARE_BLOCK else "REVIEW" if share > SHARE_REVIEW else "PASSED"}
 
 
@@ -188,19 +226,19 @@ def permutation_gate(statistic, labels: np.ndarray, margin: float, floor: float
     return {"statistic": seen, "null95": null, "flagged": seen > null + margin and seen >= floor}
 
 
-def gap_gate(scores: np.ndarray, low: float = 0.03, high: float = 0.40, separation: float = 1.2) -> dict:
-    """The best two-way split of sorted scores: flagged if the upper part is a separate minority."""
+def gap_gate(scores: np.ndarray, low: float = 0.03, high: float = 0.40, separation: float = 1.2, least: int = 20) -> dict:
+    """The best two-way split of sorted scores: flagged if the upper part is a minority apart, in units of the root of the parts' mean variance."""
     s = np.sort(np.asarray(scores, float))
     n = len(s)
-    if n < 4 or s[0] == s[-1]:
+    if n < least or s[0] == s[-1]:
         return {"share": 0.0, "separation": 0.0, "flagged": False}
     k = np.arange(1, n)
     left, sq = s.cumsum()[:-1], (s**2).cumsum()[:-1]
     within = (sq - left**2 / k) + ((s**2).sum() - sq - (s.sum() - left) ** 2 / (n - k))
     cut = int(within.argmin()) + 1
-    spread = np.sqrt(max(within[cut - 1] / n, 1e-18))
-    gap, share = (s[cut:].mean() - s[:cut].mean()) / spread, (n - cut) / n
-    return {"share": share, "separation": float(gap), "flagged": bool(low <= share <= high and gap >= separation)}
+    spread = np.sqrt((s[:cut].var() + s[cut:].var()) / 2 + 1e-12)
+    gap, share = float((s[cut:].mean() - s[:cut].mean()) / spread), (n - cut) / n
+    return {"share": share, "separation": gap, "flagged": bool(low <= share <= high and gap >= separation)}
 
 
 def mad_flags(df: DataFrame, score: str) -> DataFrame:
@@ -208,15 +246,43 @@ def mad_flags(df: DataFrame, score: str) -> DataFrame:
     middle = df.agg(F.percentile(score, F.lit(0.5)).alias("__m"))
     away = df.crossJoin(F.broadcast(middle))  # one row
     mad = away.agg(F.percentile(F.abs(F.col(score) - F.col("__m")), F.lit(0.5)).alias("__d"))
-    return away.crossJoin(F.broadcast(mad)).withColumn("flagged", F.col(score) > F.col("__m") + 3 * 1.4826 * F.col("__d")).drop("__m", "__d")
+    return away.crossJoin(F.broadcast(mad)).withColumn("flagged", (1.4826 * F.col("__d") >= 1e-9) & (F.col(score) > F.col("__m") + 3 * 1.4826 * F.col("__d"))).drop("__m", "__d")
 
 
 def top_fraction(df: DataFrame, score: str, fraction: float) -> DataFrame:
-    """df with flagged: the highest scores, ties at the border included."""
-    n = df.count()
-    k = max(1, int(n * fraction))
-    border = df.orderBy(F.desc(score)).limit(k).agg(F.min(score)).first()[0]
-    return df.withColumn("flagged", F.col(score) >= F.lit(border))
+    """df with flagged: the highest scores, ties at the border included. The border comes from counts of different scores, so no task holds that share of the rows."""
+    counts = df.groupBy(F.col(score).alias("v")).agg(F.count(F.lit(1)).alias("n")).where(F.col("v").isNotNull())
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    if not n or fraction <= 0:
+        return df.withColumn("flagged", F.lit(False))
+    border = kth_largest(counts, min(max(1, round(fraction * n)), n))
+    return df.withColumn("flagged", F.coalesce(F.col(score) >= F.lit(border), F.lit(False)))
+
+
+def kth_largest(counts: DataFrame, k: int, buckets: int = 256) -> float:
+    """The k-th largest value of counts (v, n): the range that holds it is narrowed to one value by counts of its parts."""
+    held = counts.select(F.col("v").cast("double").alias("v"), "n")
+    low, high = held.agg(F.min("v"), F.max("v")).first()
+    while low < high:
+        width = (high - low) / buckets
+        if low + width == low or high - width == high:  # neighbouring numbers: some hundred different ones at most
+            for row in held.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high))).groupBy("v").agg(F.sum("n").alias("n")).orderBy(F.desc("v")).collect():
+                if k <= row["n"]:
+                    return row["v"]
+                k -= row["n"]
+        part = F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.lit(low)) / F.lit(width)))
+        inside = held.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
+        for row in inside.groupBy(part.alias("b")).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy(F.desc("b")).collect():  # buckets rows
+            if k <= row["n"]:
+                low, high = row["low"], row["high"]
+                break
+            k -= row["n"]
+    return high
+
+
+def top_rows(df: DataFrame, key: str, score: str, n: int = 20) -> DataFrame:
+    """key, score: the n rows of the highest scores, ties by key."""
+    return df.select(key, score).orderBy(F.desc(score), key).limit(n)
 
 
 def class_distances(df: DataFrame, vector: str, label: str, key: str) -> DataFrame:

@@ -13,14 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ROLES = "system|developer|assistant|tool|user"
-_HIDDEN = r"system\s+prompt|developer\s+message|hidden\s+instructions|tool\s+instructions|previous\s+messages|confidential\s+prompt"
-_TOOLS = "cat|curl|wget|bash|sh|powershell|pwsh|cmd|whoami|id|nc|netcat|python|python3|perl|ruby|php|node|npx|npm|pip|pip3|chmod|chown|rm|del|copy|cp|mv|tar|zip|unzip|scp|ssh"
-_RUNTIME = r"Runtime\s*\.getRuntime\s*\(\s*\)\s*\.exec"
 #: Rule, category, severity, confidence, pattern (matched without regard to case, ^ and $ at lines).
 RULES = [
-    ("prompt.role_boundary_marker", "prompt_injection", "REVIEW", 0.80, rf"(?:<\|\s*(?:{_ROLES})\s*\|>|#{{2,}}\s*(?:{_ROLES})\s*:|\bBEGIN\s+(?:{_ROLES})\s+MESSAGE\b|\bEND\s+(?:{_ROLES})\s+MESSAGE\b)"),
-    ("prompt.system_prompt_disclosure", "prompt_injection", "REVIEW", 0.90, rf"(?:(?:reveal|disclose|show|print|return|dump|exfiltrate)\s+(?:the\s+)?(?:{_HIDDEN})|(?:{_HIDDEN})\s+(?:must\s+be\s+)?(?:revealed|disclosed|shown|printed|returned|dumped))"),
+    ("prompt.role_boundary_marker", "prompt_injection", "REVIEW", 0.80, r"(?:<\|\s*(?:system|developer|assistant|tool|user)\s*\|>|#{2,}\s*(?:system|developer|assistant|tool|user)\s*:|\bBEGIN\s+(?:system|developer|assistant|tool|user)\s+MESSAGE\b|\bEND\s+(?:system|developer|assistant|tool|user)\s+MESSAGE\b)"),
+    ("prompt.system_prompt_disclosure", "prompt_injection", "REVIEW", 0.90, r"(?:(?:reveal|disclose|show|print|return|dump|exfiltrate)\s+(?:the\s+)?(?:system\s+prompt|developer\s+message|hidden\s+instructions|tool\s+instructions|previous\s+messages|confidential\s+prompt)|(?:system\s+prompt|developer\s+message|hidden\s+instructions|tool\s+instructions|previous\s+messages|confidential\s+prompt)\s+(?:must\s+be\s+)?(?:revealed|disclosed|shown|printed|returned|dumped))"),
     ("prompt.developer_message_override", "prompt_injection", "REVIEW", 0.85, r"(?:(?:override|replace|ignore|bypass)\s+(?:the\s+)?(?:system|developer|assistant|tool)\s+(?:message|instructions|prompt|policy)|(?:act|respond|behave)\s+as\s+(?:the\s+)?(?:system|developer|admin|root)|developer\s+mode)"),
     ("prompt.ignore_previous_instructions", "prompt_injection", "BLOCK", 0.90, r"\bignore\s+(?:all\s+)?(?:previous|prior|above|earlier)\s+instructions?\b"),
     ("prompt.system_prompt_leak", "prompt_injection", "BLOCK", 0.90, r"\b(?:reveal|show|print|dump|exfiltrate)\s+(?:the\s+)?(?:system|developer)\s+prompt\b"),
@@ -33,12 +29,12 @@ RULES = [
     ("xss.svg_onload", "xss", "BLOCK", 0.90, r"<\s*svg\b[^>]*\bonload\s*="),
     ("xss.iframe_srcdoc", "xss", "REVIEW", 0.80, r"<\s*iframe\b[^>]*\bsrcdoc\s*="),
     ("sqli.union_select", "sqli", "BLOCK", 0.90, r"\bunion\s+(?:all\s+)?select\b"),
-    ("sqli.boolean_tautology", "sqli", "REVIEW", 0.75, r"(?:'|\")?\s*(?:or|and)\s+(?:'|\")?\d+(?:'|\")?\s*=\s*(?:'|\")?\d+"),
+    ("sqli.boolean_tautology", "sqli", "REVIEW", 0.75, r"""(?:'|\")?\s*(?:or|and)\s+(?:'|\")?\d+(?:'|\")?\s*=\s*(?:'|\")?\d+"""),
     ("sqli.comment_sequence", "sqli", "REVIEW", 0.65, r"(?:--|#|/\*)\s*$"),
     ("sqli.stacked_query", "sqli", "BLOCK", 0.85, r";\s*(?:drop|delete|insert|update|alter|create|truncate)\s+\w+"),
     ("sqli.time_based", "sqli", "REVIEW", 0.80, r"\b(?:sleep|benchmark|pg_sleep|waitfor\s+delay)\s*\("),
     ("cmd.shell_separator", "command_injection", "REVIEW", 0.80, r"(?:;|\|\||&&)\s*(?:cat|curl|wget|bash|sh|powershell|cmd|whoami|id|nc|netcat)\b"),
-    ("cmd.command_substitution", "command_injection", "REVIEW", 0.80, rf"(?:`\s*(?:{_TOOLS})\b[^`]*`|\$\(\s*(?:{_TOOLS})\b[^)]*\))"),
+    ("cmd.command_substitution", "command_injection", "REVIEW", 0.80, r"(?:`\s*(?:cat|curl|wget|bash|sh|powershell|pwsh|cmd|whoami|id|nc|netcat|python|python3|perl|ruby|php|node|npx|npm|pip|pip3|chmod|chown|rm|del|copy|cp|mv|tar|zip|unzip|scp|ssh)\b[^`]*`|\$\(\s*(?:cat|curl|wget|bash|sh|powershell|pwsh|cmd|whoami|id|nc|netcat|python|python3|perl|ruby|php|node|npx|npm|pip|pip3|chmod|chown|rm|del|copy|cp|mv|tar|zip|unzip|scp|ssh)\b[^)]*\))"),
     ("cmd.powershell_encoded", "command_injection", "BLOCK", 0.90, r"\bpowershell(?:\.exe)?\b.*\s-(?:enc|encodedcommand)\b"),
     ("path.traversal_dotdot", "path_traversal", "REVIEW", 0.85, r"(?:\.\./|\.\.\\){2,}"),
     ("path.traversal_encoded", "path_traversal", "REVIEW", 0.85, r"(?:%2e%2e%2f|%2e%2e/|%252e%252e%252f|%c0%ae)"),
@@ -46,14 +42,24 @@ RULES = [
     ("path.sensitive_windows_file", "path_traversal", "REVIEW", 0.80, r"\bC:\\Windows\\(?:System32|win\.ini)"),
     ("template.jinja_arithmetic", "template_injection", "REVIEW", 0.75, r"\{\{\s*\d+\s*[*+\-/]\s*\d+\s*\}\}"),
     ("template.jndi_lookup", "template_injection", "BLOCK", 0.98, r"\$\{\s*jndi\s*:\s*(?:ldap|ldaps|rmi|dns|iiop|corba|nis|nds|http|https)\s*://"),
-    ("template.java_runtime_exec", "template_injection", "BLOCK", 0.98, rf"(?:\$\{{\s*T\s*\(\s*java\.lang\.Runtime\s*\)\s*\.getRuntime\s*\(\s*\)\s*\.exec\s*\(|java\.lang\.{_RUNTIME}\s*\(|{_RUNTIME}\s*\()"),
-    ("template.jsp_runtime_exec", "template_injection", "BLOCK", 0.98, rf"<%\s*=?\s*.{{0,120}}?(?:{_RUNTIME}|java\.lang\.{_RUNTIME})"),
+    ("template.java_runtime_exec", "template_injection", "BLOCK", 0.98, r"(?:\$\{\s*T\s*\(\s*java\.lang\.Runtime\s*\)\s*\.getRuntime\s*\(\s*\)\s*\.exec\s*\(|java\.lang\.Runtime\s*\.getRuntime\s*\(\s*\)\s*\.exec\s*\(|Runtime\s*\.getRuntime\s*\(\s*\)\s*\.exec\s*\()"),
+    ("template.jsp_runtime_exec", "template_injection", "BLOCK", 0.98, r"<%\s*=?\s*.{0,120}?(?:Runtime\s*\.getRuntime\s*\(\s*\)\s*\.exec|java\.lang\.Runtime\s*\.getRuntime\s*\(\s*\)\s*\.exec)"),
     ("template.expression_runtime_exec", "template_injection", "BLOCK", 0.90, r"(?:\$\{\s*.{0,80}?(?:exec\s*\(|popen\s*\(|ProcessBuilder\s*\(|getRuntime\s*\(\s*\)).{0,120}?\})"),
     ("template.jinja_function_call", "template_injection", "REVIEW", 0.75, r"\{\{\s*[a-zA-Z_][\w.]{0,80}\s*\([^{}]{0,200}\)\s*\}\}"),
     ("template.jinja_code_execution", "template_injection", "BLOCK", 0.95, r"\{\{[^{}]{0,500}(?:popen|subprocess|os\.|eval\s*\(|exec\s*\(|__import__\s*\()[^{}]{0,500}\}\}"),
     ("ldap.wildcard_filter", "ldap_injection", "REVIEW", 0.75, r"\(\s*\|\s*\([^()=]{1,64}=\*\)\s*\)"),
     ("ldap.filter_breakout", "ldap_injection", "REVIEW", 0.65, r"\)\s*\(\s*\|"),
 ]
+#: What a text must have, in lower case, for a rule to match: a cheap test before the pattern.
+HINTS = {
+    "xss.script_tag": ("script",), "xss.javascript_uri": ("javascript",), "xss.svg_onload": ("svg",), "xss.iframe_srcdoc": ("srcdoc",), "sqli.union_select": ("union",),
+    "sqli.boolean_tautology": ("=",), "sqli.comment_sequence": ("--", "#", "/*"), "sqli.stacked_query": (";",), "sqli.time_based": ("sleep", "benchmark", "delay"),
+    "xss.event_handler": ("=",), "cmd.shell_separator": (";", "||", "&&"), "cmd.powershell_encoded": ("powershell",), "path.traversal_dotdot": ("../", "..\\"), "path.traversal_encoded": ("%",),
+    "path.sensitive_unix_file": ("/etc/",), "path.sensitive_windows_file": ("c:\\windows",), "template.jinja_arithmetic": ("{{",), "template.jndi_lookup": ("jndi",), "template.java_runtime_exec": ("getruntime",),
+    "template.jsp_runtime_exec": ("<%",), "template.expression_runtime_exec": ("${",), "template.jinja_function_call": ("{{",), "template.jinja_code_execution": ("{{",), "ldap.wildcard_filter": ("|",),
+    "ldap.filter_breakout": ("|",), "prompt.ignore_previous_instructions": ("instruction",), "prompt.system_prompt_leak": ("prompt",), "prompt.role_override": ("you", "act", "pretend"),
+    "prompt.jailbreak_mode": ("mode", "jailbreak", "anything"), "prompt.policy_bypass": ("bypass", "disable", "ignore", "override"),
+}
 #: Our own rules for secrets; they always block.
 SECRETS = [
     ("secret.aws_access_key", "secret", "BLOCK", 0.95, r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
@@ -74,25 +80,44 @@ LATIN = "aAeEoOpPcCyYxXiIjJsSvVldDqQwWbBHKMT"
 ENVIRONMENT_KEY = "TRUSTMILL_FINGERPRINT_KEY"
 
 
-def cells(df: DataFrame, columns: list[str], row: str) -> DataFrame:
-    """column, row_index, text, value_sha256: the non-blank cells of text columns, one row each."""
+def plain_cells(df: DataFrame, columns: list[str], row: str) -> DataFrame:
+    """column, row_index, text: the non-blank cells of text columns, one row each."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("text")) for c in columns])).alias("c")
     out = df.select(F.col(f"`{row}`").alias("row_index"), pairs).select("c.column", "row_index", "c.text")
-    return out.where(F.col("text").isNotNull() & (F.regexp_replace("text", r"\s+", "") != "")).withColumn("value_sha256", F.sha2("text", 256))
+    return out.where(F.col("text").isNotNull() & (F.regexp_replace("text", r"\s+", "") != ""))
+
+
+def cells(df: DataFrame, columns: list[str], row: str) -> DataFrame:
+    """plain_cells() with value_sha256."""
+    return plain_cells(df, columns, row).withColumn("value_sha256", F.sha2("text", 256))
+
+
+def plain_letters(text: Column) -> Column:
+    """Lower case, with letters that a pattern takes for others whatever their case: the long s, the dotless and the dotted i."""
+    return F.translate(F.lower(text), "ſıİ\u0307", "sii")
+
+
+def matching(text: Column, rules: list[tuple] = RULES, plain: Column | None = None) -> Column:
+    """Array of the rules that a text matches, as structs. plain: its plain_letters(), if they are at hand."""
+    plain = plain_letters(text) if plain is None else plain
 
+    def hinted(rule: str) -> Column:
+        some = F.lit(rule not in HINTS)
+        for h in HINTS.get(rule, ()):
+            some = some | plain.contains(h)
+        return some
 
-def matching(text: Column, rules: list[tuple] = RULES) -> Column:
-    """Array of the rules that a text matches, as structs."""
-    hits = [F.when(text.rlike("(?imdU)" + p), F.struct(F.lit(r).alias("rule_id"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(q).alias("confidence"))) for r, c, s, q, p in rules]
+    hits = [F.when(hinted(r) & text.rlike("(?imdU)" + p), F.struct(F.lit(r).alias("rule_id"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(q).alias("confidence"))) for r, c, s, q, p in rules]
     return F.array_compact(F.array(*hits))
 
 
 def rule_findings(df: DataFrame, columns: list[str], row: str, rules: list[tuple] | None = None, variants: bool = False) -> DataFrame:
     """A finding for each rule and cell; with variants, also for normalised forms of the text."""
-    found = cells(df, columns, row)
     if variants:
-        found = text_variants(found)
-    out = found.select("column", "row_index", "value_sha256", F.explode(matching(F.col("text"), rules or RULES + SECRETS)).alias("r")).select("r.*", "column", "row_index", "value_sha256")
+        out = text_variants(cells(df, columns, row)).select("column", "row_index", "value_sha256", F.explode(matching(F.col("text"), rules or RULES + SECRETS)).alias("r")).select("r.*", "column", "row_index", "value_sha256")
+    else:  # texts are hashed where a rule has matched only
+        hit = plain_cells(df, columns, row).withColumn("plain", plain_letters(F.col("text"))).withColumn("r", matching(F.col("text"), rules or RULES + SECRETS, F.col("plain"))).where(F.size("r") > 0)
+        out = hit.withColumn("value_sha256", F.sha2("text", 256)).select(F.explode("r").alias("r"), "column", "row_index", "value_sha256").select("r.*", "column", "row_index", "value_sha256")
     return dedupe_findings(out.withColumn("detector", F.lit("regex")).withColumn("subtype", F.col("rule_id"))) if variants else out
 
 

@@ -111,18 +111,18 @@ def numeric_outliers(df: DataFrame, row: str, columns: list[str] | None = None)
     names = [c for c in (columns or numeric_columns(df)) if c != row]
     stats = df.agg(*[x for i, c in enumerate(names) for x in (F.avg(clean(df, c)).alias(f"m{i}"), F.stddev_pop(clean(df, c).cast("double")).alias(f"s{i}"))], F.count(F.lit(1)).alias("n"))
     joined = df.crossJoin(F.broadcast(stats))  # one row of aggregates
-    picks = [F.max(F.when(F.col(f"s{i}") > 0, F.struct(F.round(F.abs((clean(df, c) - F.col(f"m{i}")) / F.col(f"s{i}")), 6).alias("z"), (-F.col(f"`{row}`")).alias("r")))).alias(f"b{i}") for i, c in enumerate(names)]
+    picks = [F.max(F.when(F.col(f"s{i}") > 0, F.struct(F.abs((clean(df, c) - F.col(f"m{i}")) / F.col(f"s{i}")).alias("z"), (-F.col(f"`{row}`")).alias("r")))).alias(f"b{i}") for i, c in enumerate(names)]
     best = joined.agg(*picks, F.count(F.lit(1)).alias("n"))
     flat = best.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b{i}").alias("b")) for i, c in enumerate(names)])).alias("x"))
-    return flat.where((F.col("n") >= OUTLIER_ROWS) & F.col("x.b").isNotNull()).select("x.column", (-F.col("x.b.r")).alias("row_index"), F.col("x.b.z").alias("max_z"), (F.col("x.b.z") >= OUTLIER_Z).alias("extreme"))
+    return flat.where((F.col("n") >= OUTLIER_ROWS) & F.col("x.b").isNotNull()).select("x.column", (-F.col("x.b.r")).alias("row_index"), F.round("x.b.z", 6).alias("max_z"), (F.col("x.b.z") >= OUTLIER_Z).alias("extreme"))
 
 
 def poison_mask(candidate: DataFrame, reference: DataFrame, row: str) -> DataFrame:
-    """row, changed: rows that differ from the clean table in a shared column."""
+    """row, changed: rows that differ from the clean table in a shared column; a row that only one table has is changed, too."""
     shared = [c for c in candidate.columns if c in reference.columns and c != row]
-    other = reference.select(F.col(f"`{row}`"), *[F.col(f"`{c}`").alias(f"__o_{i}") for i, c in enumerate(shared)])
-    joined = candidate.join(other, row)
-    differs = reduce(lambda a, b: a | b, [~F.col(f"`{c}`").cast("string").eqNullSafe(F.col(f"__o_{i}").cast("string")) for i, c in enumerate(shared)], F.lit(False))
+    other = reference.select(F.col(f"`{row}`"), *[F.col(f"`{c}`").alias(f"__o_{i}") for i, c in enumerate(shared)], F.lit(True).alias("__there"))
+    joined = candidate.withColumn("__here", F.lit(True)).join(other, row, "full")
+    differs = reduce(lambda a, b: a | b, [~F.col(f"`{c}`").cast("string").eqNullSafe(F.col(f"__o_{i}").cast("string")) for i, c in enumerate(shared)], F.col("__here").isNull() | F.col("__there").isNull())
     return joined.select(F.col(f"`{row}`"), differs.alias("changed"))
 
 

@@ -12,7 +12,7 @@ LENGTH_IQR, CONFLICT_FAIL, TOKEN_SHARE, NON_ASCII_FAIL = 5.0, 0.01, 0.10, 0.005
 MIXED_TOKEN = r"^(?:[0-9]+[a-zA-Z]+|[a-zA-Z]+[0-9]+)[a-zA-Z0-9]*$"
 TOKEN = r"[A-Za-z0-9_@$#./\\:-]{3,}"
 RARE_COUNT, RARE_SHARE = 3, 0.95
-TRIGGER = r"^[A-Za-z0-9]{6,}$"
+SCRIPT_TOKEN = r"[A-Za-z0-9\u0400-\u04FF']+"
 
 
 def _blank(c: str) -> Column:
@@ -59,10 +59,15 @@ def suspicious_tokens(df: DataFrame, column: str) -> DataFrame:
     return joined.where(F.col("n_docs") >= TOKEN_SHARE * F.col("n")).select("token", "n_docs", F.round(F.col("n_docs") / F.col("n"), 6).alias("share"))
 
 
+def _script_tokens(column: Column) -> Column:
+    return F.regexp_extract_all(column, F.lit(SCRIPT_TOKEN), F.lit(0))
+
+
 def trigger_tokens(df: DataFrame, column: str) -> DataFrame:
-    """token, n_docs: alphanumeric tokens of 6 characters or more in max(5, 0.5 % of the texts) or more."""
-    frequency, total = _document_frequency(df, column, F.split(F.col(f"`{column}`"), r"\s+"))
-    return frequency.where(F.col("token").rlike(TRIGGER)).crossJoin(F.broadcast(total)).where(F.col("n_docs") >= F.greatest(F.lit(5.0), 0.005 * F.col("n"))).select("token", "n_docs")
+    """token, n_docs: lower-case tokens of 6 characters or more with a digit and an ASCII letter, in max(5, 0.5 % of the texts) or more."""
+    frequency, total = _document_frequency(df, column, _script_tokens(F.lower(f"`{column}`")))
+    mixed = frequency.where((F.length("token") >= 6) & F.col("token").rlike("[0-9]") & F.col("token").rlike("[a-z]"))
+    return mixed.crossJoin(F.broadcast(total)).where(F.col("n_docs") >= F.greatest(F.lit(5.0), 0.005 * F.col("n"))).select("token", "n_docs")  # one row
 
 
 def non_ascii(df: DataFrame, column: str) -> DataFrame:
@@ -73,9 +78,10 @@ def non_ascii(df: DataFrame, column: str) -> DataFrame:
     return out.withColumn("rate", F.round(rate, 6)).withColumn("status", F.when(rate >= NON_ASCII_FAIL, "FAILED").otherwise("PASSED"))
 
 
-def charset_counts(df: DataFrame, column: str, row: str) -> DataFrame:
-    """row, n_non_ascii of texts that have any."""
-    return df.select(F.col(f"`{row}`"), F.length(F.regexp_replace(F.coalesce(f"`{column}`", F.lit("")), r"[\x00-\x7F]+", "")).alias("n_non_ascii")).where("n_non_ascii > 0")
+def charset_scan(df: DataFrame, column: str, row: str) -> DataFrame:
+    """row, n_tokens: texts with tokens of both Latin and Cyrillic letters, and how many."""
+    mixed = F.filter(_script_tokens(F.coalesce(F.col(f"`{column}`"), F.lit(""))), lambda t: t.rlike("[A-Za-z]") & t.rlike(r"[\u0400-\u04FF]"))
+    return df.select(F.col(f"`{row}`"), F.size(mixed).alias("n_tokens")).where("n_tokens > 0")
 
 
 def label_tokens(df: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -91,7 +97,7 @@ def label_tokens(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 def tfidf(df: DataFrame, column: str, row: str, terms: int = 200, min_docs: int = 2) -> DataFrame:
     """row, term, weight: sublinear frequency, smooth inverse document frequency, unit length; the terms most frequent in total."""
     text = F.lower(F.coalesce(F.col(f"`{column}`"), F.lit("")))
-    counts = df.select(F.col(f"`{row}`").alias("row"), F.explode(F.regexp_extract_all(text, F.lit(r"[a-z0-9_]{2,}"), F.lit(0))).alias("term")).groupBy("row", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = df.select(F.col(f"`{row}`").alias("row"), F.explode(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term")).groupBy("row", "term").agg(F.count(F.lit(1)).alias("tf"))
     vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_docs).orderBy(F.desc("cf"), "term").limit(terms)
     n = df.agg(F.count(F.lit(1)).alias("n"))
     weighed = counts.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(n)).select("row", "term", ((1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))

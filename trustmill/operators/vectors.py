@@ -18,6 +18,8 @@ from .univariate import chi2_quantile
 CAP = 5000
 #: Neighbours and limits of the rules.
 K_CONSISTENCY, K_LOF, LOF_LIMIT, DBSCAN_SAMPLES, DBSCAN_Q, K_SEPARABLE = 5, 20, 1.5, 5, 0.90, 20
+LOF_COMPONENTS, DBSCAN_COMPONENTS, FOREST_COMPONENTS, SPECTRAL_COMPONENTS, SEPARABLE_COMPONENTS = 30, 20, 50, 50, 30
+CLASS_CAP, CLASS_LEAST, NEAR_CAP = 2000, 20, 2000
 NEAR_Q, MAHALANOBIS_Q, SUPPORT, TREES, TREE_ROWS = 0.05, 0.975, 0.75, 100, 256
 
 
@@ -33,28 +35,64 @@ def matrix(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array([r["key"] for r in held]), np.array([r["vector"] for r in held], float).reshape(len(held), -1), np.array([r["label"] for r in held], object)
 
 
-def neighbours(df: DataFrame, key: str, vector: str, label: str, k: int, cap: int = CAP) -> DataFrame:
-    """key, label, rank, other, other_label, distance: the k nearest sample rows of each sample row, itself aside, ties by key."""
+def neighbours(df: DataFrame, key: str, vector: str, label: str, k: int, cap: int = CAP, within: bool = False, drawn: DataFrame | None = None) -> DataFrame:
+    """key, label, rank, other, other_label, distance: the k nearest sample rows of each sample row, itself aside, ties by key; within: of its own label.
+    drawn is a sample (key, vector, label) made before."""
     spark = df.sparkSession
-    rows = sample(df, key, vector, label, cap)
+    rows = sample(df, key, vector, label, cap) if drawn is None else drawn
     ids, x, y = matrix(rows)
-    shipped = spark.sparkContext.broadcast((ids, x, y))  # cap rows at most
+    groups = {c: np.flatnonzero(y == c) for c in set(y)} if within else {None: np.arange(len(ids))}
+    shipped = spark.sparkContext.broadcast((ids, x, y, groups))  # cap rows at most, for each class if within
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x, y = shipped.value
+        ids, x, y, groups = shipped.value
         for frame in frames:
-            q = np.stack(frame["vector"].to_numpy()) if len(frame) else np.zeros((0, x.shape[1]))
-            for a in range(0, len(q), 32):
-                part, own = q[a : a + 32], frame["key"].to_numpy()[a : a + 32]
-                d = np.sqrt(np.maximum(((part[:, None, :] - x[None]) ** 2).sum(2), 0))
-                d[own[:, None] == ids[None]] = np.inf
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, : min(k, len(ids) - 1)]
-                n = order.shape[1]
-                yield pd.DataFrame({"key": np.repeat(own, n), "label": np.repeat(frame["label"].to_numpy()[a : a + 32], n), "rank": np.tile(np.arange(1, n + 1), len(part)), "other": ids[order].reshape(-1), "other_label": y[order].reshape(-1), "distance": np.take_along_axis(d, order, 1).reshape(-1)})
+            for name, among in groups.items():
+                part = frame[frame["label"] == name] if within else frame
+                their, z = ids[among], x[among]
+                for a in range(0, len(part), 32):
+                    some = part.iloc[a : a + 32]
+                    own, q = some["key"].to_numpy(), np.stack(some["vector"].to_numpy())
+                    d = np.sqrt(np.maximum(((q[:, None, :] - z[None]) ** 2).sum(2), 0))
+                    d[own[:, None] == their[None]] = np.inf
+                    order = np.lexsort((np.broadcast_to(their, d.shape), d), axis=1)[:, : min(k, len(their) - 1)]
+                    n = order.shape[1]
+                    yield pd.DataFrame({"key": np.repeat(own, n), "label": np.repeat(some["label"].to_numpy(), n), "rank": np.tile(np.arange(1, n + 1), len(some)), "other": their[order].reshape(-1), "other_label": y[among][order].reshape(-1), "distance": np.take_along_axis(d, order, 1).reshape(-1)})
 
     return rows.repartition(max(1, min(64, len(ids) // 256 + 1)), "key").mapInPandas(run, "key long, label string, rank int, other long, other_label string, distance double")
 
 
+def reduced(df: DataFrame, key: str, vector: str, label: str, components: int) -> DataFrame:
+    """key, vector, label: vectors projected on the leading components of their own class, if they have more dimensions; all rows."""
+    plain = F.transform(F.col(vector), lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x.cast("double")))
+    rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("key"), plain.alias("vector"), F.col(label).cast("string").alias("label"))
+    width = rows.select(F.size("vector")).first()
+    if width is None or width[0] <= components:
+        return rows
+    # A matrix for each of 50 classes at most.
+    bases = {c: (mean, np.linalg.eigh(cov)[1][:, ::-1][:, :components]) for c, (_, mean, cov) in gram(rows, "vector", "label").items()}
+    shipped = df.sparkSession.sparkContext.broadcast(bases)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, part in frame.groupby("label"):
+                mean, basis = shipped.value[name]
+                part = part.copy()
+                part["vector"] = list((np.stack(part["vector"].to_numpy()) - mean) @ basis)
+                yield part
+
+    return rows.mapInPandas(run, "key long, vector array<double>, label string")
+
+
+def class_neighbours(df: DataFrame, key: str, vector: str, label: str, k: int, components: int, cap: int = CLASS_CAP) -> DataFrame:
+    """neighbours() within each class, over cap rows of it, in its leading components; classes of fewer than CLASS_LEAST rows are left out."""
+    from .structural import stratified_sample
+
+    drawn = stratified_sample(reduced(df, key, vector, label, components), "key", "label", cap)
+    large = drawn.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CLASS_LEAST).select("label")
+    return neighbours(df, key, vector, label, k, within=True, drawn=drawn.join(F.broadcast(large), "label").select("key", "vector", "label"))
+
+
 def knn_consistency(df: DataFrame, key: str, vector: str, label: str, k: int = K_CONSISTENCY) -> DataFrame:
     """n, disagreement, gini, ratio: the share of neighbours under another label against chance (M9)."""
     near = neighbours(df, key, vector, label, k)
@@ -66,36 +104,33 @@ def knn_consistency(df: DataFrame, key: str, vector: str, label: str, k: int = K
 
 def near_conflicts(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """n, cut, n_conflicts, rate: nearest neighbours within the 5th percentile that have another label (M10)."""
-    near = neighbours(df, key, vector, label, 1)
-    cut = near.agg(F.percentile("distance", F.lit(NEAR_Q)).alias("cut"))
+    near = neighbours(df, key, vector, label, 1, NEAR_CAP)
+    cut = near.agg(F.percentile("distance", F.lit(NEAR_Q)).alias("cut"))  # NEAR_CAP values
     bad = (F.col("distance") <= F.col("cut")) & (F.col("label") != F.col("other_label"))
     out = near.crossJoin(F.broadcast(cut)).agg(F.count(F.lit(1)).alias("n"), F.round(F.first("cut"), 6).alias("cut"), F.count_if(bad).alias("n_conflicts"))  # one row
     return out.withColumn("rate", F.round(F.col("n_conflicts") / F.col("n"), 6))
 
 
-def lof(df: DataFrame, key: str, vector: str, label: str, k: int = K_LOF) -> DataFrame:
-    """key, lof: local outlier factors over the sample (M12), from the neighbour table."""
-    near = neighbours(df, key, vector, label, k)
+def lof(df: DataFrame, key: str, vector: str, label: str, k: int = K_LOF, components: int = LOF_COMPONENTS, cap: int = CLASS_CAP) -> DataFrame:
+    """key, label, lof: local outlier factors within each class (M12), from the neighbour table."""
+    near = class_neighbours(df, key, vector, label, k, components, cap)
     reach = near.groupBy("key").agg(F.max("distance").alias("kd"))
-    lrd = near.join(reach.select(F.col("key").alias("other"), "kd"), "other").groupBy("key").agg((1 / (F.avg(F.greatest("kd", "distance")) + 1e-10)).alias("lrd"))
+    lrd = near.join(reach.select(F.col("key").alias("other"), "kd"), "other").groupBy("key", "label").agg((1 / (F.avg(F.greatest("kd", "distance")) + 1e-10)).alias("lrd"))
     theirs = near.join(lrd.select(F.col("key").alias("other"), F.col("lrd").alias("l")), "other").groupBy("key").agg(F.avg("l").alias("l"))
-    return theirs.join(lrd, "key").select("key", F.round(F.col("l") / F.col("lrd"), 6).alias("lof"))
+    return theirs.join(lrd, "key").select("key", "label", F.round(F.col("l") / F.col("lrd"), 6).alias("lof"))
 
 
-def noise(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """n, eps, n_noise, rate: rows neither dense nor within eps of a dense one (M13)."""
-    ids, x, _ = matrix(sample(df, key, vector, label))
-    core_k = DBSCAN_SAMPLES
-    n = len(ids)
-    if n <= core_k:
-        return df.sparkSession.createDataFrame([(n, None, 0, 0.0)], "n long, eps double, n_noise long, rate double")
-    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
-    np.fill_diagonal(d, 0)
-    eps = float(np.quantile(np.sort(d, 1)[:, core_k - 1], DBSCAN_Q))
-    close = d <= eps + 1e-12
-    core = close.sum(1) >= core_k
-    loose = int((~core & ~(close & core[None]).any(1)).sum())
-    return df.sparkSession.createDataFrame([(n, round(eps, 6), loose, round(loose / n, 6))], "n long, eps double, n_noise long, rate double")
+def noise(df: DataFrame, key: str, vector: str, label: str, components: int = DBSCAN_COMPONENTS, cap: int = CLASS_CAP) -> DataFrame:
+    """label, n, eps, n_noise, rate: rows of a class neither dense nor within eps of a dense one (M13), from the neighbour table.
+    eps is the 0.9 quantile of the distances of the 5th neighbours; dense rows have 5 rows within eps, themselves among them."""
+    near = class_neighbours(df, key, vector, label, DBSCAN_SAMPLES, components, cap)
+    last = near.where(F.col("rank") == DBSCAN_SAMPLES).groupBy("label").agg(F.percentile("distance", F.lit(DBSCAN_Q)).alias("eps"))  # cap values
+    close = near.join(F.broadcast(last), "label")
+    dense = close.where((F.col("rank") == DBSCAN_SAMPLES - 1) & (F.col("distance") <= F.col("eps"))).select(F.col("key").alias("dense"))
+    # What is not dense has fewer rows within eps than the table has neighbours.
+    reached = close.where("distance <= eps").join(dense, F.col("other") == F.col("dense")).select("key").union(dense).distinct()
+    rows = near.select("key", "label").distinct().join(reached.withColumn("in", F.lit(1)), "key", "left").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("in").isNull()).alias("n_noise"))
+    return rows.join(F.broadcast(last), "label").where("eps >= 1e-10").select("label", "n", F.round("eps", 6).alias("eps"), "n_noise", F.round(F.col("n_noise") / F.col("n"), 6).alias("rate"))
 
 
 def gram(df: DataFrame, vector: str, by: str | None = None) -> dict[object, tuple[int, np.ndarray, np.ndarray]]:
@@ -109,14 +144,21 @@ def gram(df: DataFrame, vector: str, by: str | None = None) -> dict[object, tupl
                 n, s, g = sums.get(k, (0, 0.0, 0.0))
                 sums[k] = n + len(x), s + x.sum(0), g + x.T @ x
         for k, (n, s, g) in sums.items():
-            yield pd.DataFrame({"by": [k], "n": [n], "s": [s.tolist()], "g": [g.reshape(-1).tolist()]})
+            flat = np.concatenate([[n], s, g.reshape(-1)])
+            yield pd.DataFrame({"by": k, "i": np.arange(len(flat)), "v": flat})
 
     rows = df.where(F.col(vector).isNotNull()).select((F.col(by).cast("string") if by else F.lit("")).alias("by"), F.col(vector).alias("vector")).where(F.col("by").isNotNull())
-    out: dict = {}
-    for r in rows.mapInPandas(run, "by string, n long, s array<double>, g array<double>").collect():
-        n, s, g = out.get(r["by"], (0, 0.0, 0.0))
-        out[r["by"]] = n + r["n"], s + np.array(r["s"]), g + np.array(r["g"]).reshape(len(r["s"]), -1)
-    return {k: (n, s / n, g - np.outer(s, s) / n) for k, (n, s, g) in out.items()}
+    held: dict = {}
+    # Partial sums meet in Spark; a matrix for each class comes to the driver.
+    for r in rows.mapInPandas(run, "by string, i long, v double").groupBy("by", "i").agg(F.sum("v").alias("v")).collect():
+        held.setdefault(r["by"], {})[r["i"]] = r["v"]
+    out = {}
+    for k, values in held.items():
+        flat = np.array([values[i] for i in range(len(values))])
+        p = int((np.sqrt(4 * len(flat) - 3) - 1) / 2 + 0.5)
+        n, s, g = int(flat[0]), flat[1 : p + 1], flat[p + 1 :].reshape(p, p)
+        out[k] = n, s / n, g - np.outer(s, s) / n
+    return out
 
 
 def _project(vector, direction: np.ndarray, mean: np.ndarray):
@@ -225,7 +267,12 @@ def class_outliers(df: DataFrame, key: str, vector: str, label: str, method: str
 def separability(df: DataFrame, key: str, vector: str, label: str, permutations: int = 300, cap: int = 2000) -> DataFrame:
     """observed, p: share of rows nearer to another class than to their own among 20 neighbours, against label permutations (M16).
     Neighbours are found once; permutations are vectorised."""
-    near = neighbours(df, key, vector, label, K_SEPARABLE, cap).toPandas().sort_values(["key", "rank"])
+    drawn = sample(df, key, vector, label, cap)
+    ids, x, y = matrix(drawn)
+    if x.shape[1] > SEPARABLE_COMPONENTS:
+        flat = [(int(i), [float(v) for v in z], str(c)) for i, z, c in zip(ids, reduce(x, SEPARABLE_COMPONENTS), y, strict=True)]
+        drawn = df.sparkSession.createDataFrame(flat, "key long, vector array<double>, label string")  # cap rows
+    near = neighbours(df, key, vector, label, K_SEPARABLE, drawn=drawn).toPandas().sort_values(["key", "rank"])
     ids = near["key"].unique()
     place = {k: i for i, k in enumerate(ids)}
     other = near["other"].map(place).to_numpy().reshape(len(ids), -1)

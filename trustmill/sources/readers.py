@@ -8,6 +8,7 @@ import zipfile
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +52,10 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(F.trim("value") != "")
     bad = lines.where(~F.coalesce(F.col("value").rlike(r"^\s*\{") & F.expr("try_parse_json(value) IS NOT NULL"), F.lit(False))).limit(1).collect()
     if bad:
-        raise ReadError(f"not a JSON object: {bad[0][0][:80]}")
+        wrong = bad[0][0]
+        # Only now lines are numbered, to name the first that is like it.
+        number = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().filter(lambda x: x[0] == wrong).map(lambda x: x[1] + 1).min()
+        raise ReadError(f"line {number} is not a JSON object: {wrong[:80]}")
     return spark.read.json(path, mode="FAILFAST")
 
 
@@ -72,7 +76,7 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """df with a number for each row, in order of file and place: stable however the table is partitioned. Parquet gives it for free."""
     try:
         return df.select("*", F.col("_metadata.row_index").alias(name))
-    except Exception:  # noqa: BLE001 - no such metadata column in this source
+    except AnalysisException:  # no such metadata column in this source
         schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
         return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
 
@@ -140,3 +144,14 @@ def identity(path: str) -> tuple[str, str]:
     """Dataset (parent folder) and version (stem) of a file."""
     p = Path(path)
     return p.parent.name, p.stem
+
+
+def init_demo(folder: str) -> dict[str, str]:
+    """Writes a small table and a linear model to try a scan with."""
+    import numpy as np
+
+    root = Path(folder)
+    root.mkdir(parents=True, exist_ok=True)
+    (root / "demo.csv").write_text("size,weight,label\n1.0,2.0,a\n2.0,1.0,b\n3.0,4.0,a\n")
+    np.savez(root / "demo.npz", **{"0.weight": np.eye(2), "0.bias": np.zeros(2), "2.weight": np.array([[1.0, -1.0], [-1.0, 1.0]]), "2.bias": np.zeros(2)})
+    return {"dataset": str(root / "demo.csv"), "model": str(root / "demo.npz")}
