@@ -15,10 +15,10 @@ ARROW_ROWS = 512
 ARROW_BYTES = 8 << 20
 
 
-def tune(spark: SparkSession) -> None:
+def tune(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
     """Bounds the Arrow batches that Python functions get."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

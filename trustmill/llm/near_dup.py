@@ -41,6 +41,8 @@ SHORT = 9
 ROUNDS = 2
 #: Rows and words of a group of bucket members; a block holds two groups. Bins in which a block counts words and word pairs.
 GROUP_ROWS, GROUP_WORDS, BINS = 256, 1 << 20, 512
+#: Batches of texts to hash: a byte of text takes some 40 of memory in a worker.
+BATCH_ROWS, BATCH_BYTES = 256, 2 << 20
 #: Texts of more words are aligned by few diagonals first.
 LONG, FEW = 8192, 64
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -399,7 +401,7 @@ def _pairs(block: pa.Table, least: float) -> list[tuple[int, int]]:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """doc_id, class_id, class_size, text_key (MD5 of the text), class (a number): a row for each row of docs. Scratch tables are gone when it returns."""
     spark = docs.sparkSession
-    common.tune(spark)
+    common.tune(spark, BATCH_ROWS, BATCH_BYTES)
     with common.scratch(spark):
         rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
         drawn = rows.mapInArrow(_sketch, "doc_id long, text_key binary, n long, sketch array<long>, short array<long>, words binary").withColumn("row", F.monotonically_increasing_id())
