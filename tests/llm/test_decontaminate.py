@@ -63,3 +63,30 @@ def test_without_broadcast(spark, monkeypatch):
     docs, items = [(i, f"w{i} a b c d e f g h i") for i in range(20)], [(1, "a b c d e f g h"), (2, "b c d e f g h i")]
     got = dc.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.n_hit, r.n_items, r.contaminated) for r in got} == {(9, 2, True)}
+
+
+def test_proximity_against_brute_force(spark, monkeypatch):
+    """Enough different terms of a window in eight consecutive words; with terms that no document has, too."""
+    rng = random.Random(4)
+    words = list("abcdefghijkl")
+    items = [(i, " ".join(rng.choice([*words, "unseen"]) for _ in range(rng.choice([1, 5, 8, 10])))) for i in range(8)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 50)))) for i in range(60)]
+    docs += [(100, items[0][1].replace(items[0][1].split()[0], "changed")), (101, None)]
+    expected = set()
+    for item, text in items:
+        w = split(text)
+        for s in range(max(0, len(w) - 8) + 1):
+            terms = set(w[s : s + 8])
+            for doc, body in docs:
+                d = split(body)
+                if any(len(terms & set(d[p : p + 8])) >= 0.8 * len(terms) - 1e-9 for p in range(len(d))):
+                    expected.add((doc, str(item)))
+    assert expected
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for rows in (dc.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(dc, "BROADCAST_ROWS", rows)
+        got = {r.doc_id: r for r in dc.decontaminate(d, b, share=0.8).collect()}
+        for doc, _ in docs:
+            found = sorted(i for x, i in expected if x == doc)
+            assert (got[doc].n_items, got[doc].items_sha256) == (len(found), hashlib.sha256(",".join(found).encode()).hexdigest())
+            assert got[doc].n_hit <= got[doc].n_words

@@ -1,30 +1,32 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-Training documents become token tables (the forward form of the index, stored once in the shared
-folder). The corpus frequency of each benchmark term is counted; every window of a benchmark item
-is anchored at its rarest term. Postings (document, position, neighbouring terms) are made of
-anchor terms alone, joined with the windows of that term, and offset-adjusted: a window occurs
-where its terms stand at the adjusted positions (phrase), or where enough of them stand near
-(proximity).
+Documents become token tables, and these an index, stored in the shared folder: a posting (term, document, position) for each place of
+each term that the benchmark has. The places of a window's terms are ranked by their number of postings. A phrase is found by
+intersecting lists of postings, each moved by its term's place in the window, so that equal (document, start) meet: those of the FIRST rarest
+terms first, then what is left with the lists of all other terms. Proximity starts from as many of the rarest terms as leave too few others
+for a match, and looks up the others' postings in the blocks of positions around.
 
 Defined cases: null and empty texts have no words; items without words have no windows; an item of
 fewer words than the window is one window; a null item_id counts as an empty string; repeated
 document rows are judged row by row; an empty benchmark hits nothing; ties in frequency go to the
-alphabetically first term and its first place in the window. Columns of docs that clash with
+alphabetically first term and its first place in the window; a text of any length is only as many postings. Columns of docs that clash with
 results are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Words of a window; items with occurring windows that make a document contaminated.
 WINDOW, MIN_ITEMS = 8, 2
-#: A benchmark side is broadcast up to so many rows (some 100 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Lists of a window's rarest terms that are intersected before the others.
+FIRST = 2
+#: A side is broadcast up to so many rows and bytes; beyond either the join shuffles, and a side that the benchmark sets is repeated SALTS times,
+#: so that postings of a frequent term are spread.
+BROADCAST_ROWS, BROADCAST_BYTES, SALTS = 200_000, 32 << 20, 16
 #: What parts words, after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,13 +36,27 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether a count of rows and bytes proves df small enough to broadcast."""
+    size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    return size["n"] <= BROADCAST_ROWS and size["b"] <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
-    """df, with a broadcast hint if a count proves it small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, with a broadcast hint if it is small."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows (with __row) joined with a table that the benchmark sets, by a key that may be in a third of all rows."""
+    if is_small(table):
+        return rows.join(F.broadcast(table), key)
+    spread = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int")).join(spread, [key, "__salt"]).drop("__salt")
 
 
 def token_table(docs: DataFrame, text: str) -> DataFrame:
-    """row, words and the other columns of docs, stored: the forward form of the positional index."""
+    """row, words and the other columns of docs, stored: what postings are made of."""
     rest = [c for c in docs.columns if c != text]
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], words(F.col(f"`{text}`")).alias("__words"))
     return common.materialise(rows, "tokens", keep=True)
@@ -55,49 +71,78 @@ def item_windows(items: DataFrame, window: int, item_id: str, text: str) -> Data
     return cut.select("item", "terms", F.array_join("terms", " ").alias("window_key")).distinct()
 
 
-def anchored(tokens: DataFrame, windows: DataFrame) -> DataFrame:
-    """window_key, terms, term, offset: each distinct window with its rarest term in the corpus. Windows with a term that the corpus lacks are gone."""
-    distinct = windows.select("window_key", "terms").distinct()
-    vocabulary = small(distinct.select(F.explode("terms").alias("term")).distinct())
-    frequency = tokens.select(F.explode("__words").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    placed = distinct.select("window_key", "terms", F.posexplode("terms").alias("offset", "term")).join(frequency, "term", "left")
-    best = placed.groupBy("window_key").agg(F.first("terms").alias("terms"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")).alias("a"))
-    return best.where("a.n > 0").select("window_key", "terms", F.col("a.term").alias("term"), F.col("a.offset").alias("offset"))
-
-
-def postings(tokens: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
-    """row, term, position, its neighbours up to a window's width, and where among them it stands."""
-    terms = small(anchors.select("term").distinct())
-    found = tokens.select("__row", "__words", F.posexplode("__words").alias("position", "term")).join(terms, "term")
-    low = F.greatest(F.col("position") - (window - 1), F.lit(0))
-    return found.select("__row", "term", "position", F.slice("__words", low + 1, F.col("position") - low + window).alias("near"), (F.col("position") - low).alias("at"))
+def index(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """The positional inverted index, stored: term_id, row, position of each place of each of terms (term_id, term)."""
+    places = tokens.select("__row", F.posexplode("__words").alias("position", "term"))
+    return common.materialise(looked_up(places, terms, "term").select("term_id", "__row", "position"), "postings")
+
+
+def ranked(postings: DataFrame, terms: DataFrame, windows: DataFrame) -> DataFrame:
+    """window, length, term_id, offset, rank (from 0) of each place of each window, stored: the term of fewest postings first."""
+    number = postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("n"))
+    places = windows.select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term"))
+    known = places.join(terms.join(number, "term_id", "left"), "term")
+    order = Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "term", "offset")  # a window has WINDOW places
+    return common.materialise(known.select("window", "length", "term_id", "offset", (F.row_number().over(order) - 1).alias("rank")), "ranked")
+
+
+def phrases(postings: DataFrame, places: DataFrame) -> DataFrame:
+    """row, window, start, length of each occurrence of a window, by intersecting offset-adjusted lists of postings."""
+    at = ["__row", "window", "start"]
+    first = looked_up(postings, places.where(F.col("rank") < FIRST).select("term_id", "window", "offset", "length"), "term_id")
+    lists = first.select("__row", "window", (F.col("position") - F.col("offset")).alias("start"), "length").where("start >= 0")
+    both = lists.groupBy(*at).agg(F.count(F.lit(1)).alias("lists"), F.first("length").alias("length"))
+    left = common.materialise(both.where(F.col("lists") == F.least("length", F.lit(FIRST))).drop("lists"), "intersected")
+    others = places.where(F.col("rank") >= FIRST).select("window", "term_id", "offset")
+    asked = looked_up(left, others, "window").select(*at, "length", "term_id", (F.col("start") + F.col("offset")).alias("position"))
+    held = postings.join(small(asked), ["__row", "term_id", "position"]).groupBy(*at).agg(F.count(F.lit(1)).alias("lists"), F.first("length").alias("length"))
+    return held.where(F.col("lists") == F.col("length") - FIRST).drop("lists").unionByName(left.where(F.col("length") <= FIRST))
+
+
+def proximities(postings: DataFrame, places: DataFrame, window: int, share: float) -> DataFrame:
+    """row, window, start, length of each place where a share of a window's different terms stands in so many consecutive words, from the first to the last of them."""
+    terms = places.groupBy("window", "term_id").agg(F.min("rank").alias("rank"))
+    order = Window.partitionBy("window").orderBy("rank")
+    terms = terms.withColumn("rarity", F.row_number().over(order)).withColumn("terms", F.count(F.lit(1)).over(Window.partitionBy("window")))
+    terms = terms.withColumn("needed", F.greatest(F.ceil(F.col("terms") * share - 1e-9), F.lit(1)))
+    terms = common.materialise(terms.select("window", "term_id", "rarity", "terms", "needed"), "terms")
+    # Of needed terms, one at least is among the others' number plus one that are rarest.
+    anchors = looked_up(postings, terms.where("rarity <= terms - needed + 1").select("term_id", "window", "needed"), "term_id").select("__row", "window", "needed", F.col("position").alias("anchor"))
+    asked = looked_up(anchors, terms.select("window", "term_id"), "window").withColumn("block", F.explode(F.sequence(F.floor((F.col("anchor") - (window - 1)) / window), F.floor((F.col("anchor") + window - 1) / window))))
+    blocks = postings.withColumn("block", F.floor(F.col("position") / window))
+    near = blocks.join(asked, ["__row", "term_id", "block"]).where(F.abs(F.col("position") - F.col("anchor")) < window)
+    # An anchor has no more places around than 2 window - 1, so neither has its array.
+    around = near.groupBy("__row", "window", "anchor", "needed").agg(F.collect_set(F.struct("position", "term_id")).alias("places"))
+    ends = F.transform("places", lambda a: F.struct(a["position"].alias("start"), F.filter("places", lambda b: (b["position"] >= a["position"]) & (b["position"] < a["position"] + window)).alias("within")))
+    met = F.filter(ends, lambda a: F.size(F.array_distinct(a["within"]["term_id"])) >= F.col("needed"))
+    found = around.select("__row", "window", F.explode(met).alias("m"))
+    return found.select("__row", "window", F.col("m.start").alias("start"), (F.array_max("m.within.position") - F.col("m.start") + 1).alias("length")).distinct()
 
 
 def matches(tokens: DataFrame, windows: DataFrame, window: int = WINDOW, share: float | None = None) -> DataFrame:
     """row, window_key, start, length of each occurrence of a window as a phrase; with share, of each
-    place where the anchor term has that share of the window's terms around it (proximity)."""
-    anchors = common.materialise(anchored(tokens, windows), "anchors")
-    found = postings(tokens, anchors, window).join(small(anchors), "term")
-    start = F.col("at") - F.col("offset")
-    if share is None:
-        same = (start >= 0) & (F.array_join(F.slice("near", F.greatest(start, F.lit(0)) + 1, F.size("terms")), " ") == F.col("window_key"))
-    else:
-        same = F.size(F.array_intersect("near", "terms")) >= share * F.size(F.array_distinct("terms"))
-    return found.where(same).select("__row", "window_key", F.greatest(F.col("position") - F.col("offset"), F.lit(0)).alias("start"), F.size("terms").alias("length"))
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, text: str = "text", item_id: str = "item_id", item_text: str = "text", spans: bool = False) -> DataFrame:
-    """Adds n_words, n_hit, n_items, items_sha256, contaminated to docs (without its text); with spans, also hit_spans: [start, end) in words of each occurrence."""
+    place where that share of the window's different terms stands in window consecutive words (proximity)."""
+    distinct = common.materialise(windows.select("window_key", "terms").distinct().withColumn("window", F.monotonically_increasing_id()), "distinct")
+    terms = common.materialise(distinct.select(F.explode("terms").alias("term")).distinct().withColumn("term_id", F.monotonically_increasing_id()), "vocabulary")
+    postings = index(tokens, terms)
+    places = ranked(postings, terms, distinct)
+    found = phrases(postings, places) if share is None else proximities(postings, places, window, share)
+    return looked_up(found, distinct.select("window", "window_key"), "window").select("__row", "window_key", "start", "length")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, text: str = "text", item_id: str = "item_id", item_text: str = "text", spans: bool = False, share: float | None = None) -> DataFrame:
+    """Adds n_words, n_hit, n_items, items_sha256, contaminated to docs (without its text); with spans, also hit_spans: [start, end) in words of each
+    occurrence. Occurrences are phrases; with share, places where that share of a window's different terms stands in window consecutive words, in any order."""
     rest = [c for c in docs.columns if c != text]
     new = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(("hit_spans",) if spans else ()))
     with common.scratch(docs.sparkSession):
         tokens = token_table(docs, text)
         windows = common.materialise(item_windows(items, window, item_id, item_text), "windows")
-        found = common.materialise(matches(tokens, windows, window), "hits")
+        found = common.materialise(matches(tokens, windows, window, share), "hits")
         covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["length"] - 1))))
         places = found.groupBy("__row").agg(F.collect_set(F.struct("start", "length")).alias("places"))
         hits = places.select("__row", F.size(covered).cast("long").alias("n_hit"), F.transform(F.array_sort("places"), lambda p: F.struct(p["start"].alias("start"), (p["start"] + p["length"]).alias("end"))).alias("hit_spans"))
-        named = found.select("__row", "window_key").distinct().join(small(windows.select("window_key", "item")), "window_key").select("__row", "item").distinct()
+        named = looked_up(found.select("__row", "window_key").distinct(), windows.select("window_key", "item"), "window_key").select("__row", "item").distinct()
         of_items = named.groupBy("__row").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
         of_rows = common.materialise(hits.join(of_items, "__row"), "hit_rows", keep=True)
     out = tokens.select("__row", *[f"c{i}" for i in range(len(rest))], F.size("__words").cast("long").alias("n_words")).join(of_rows, "__row", "left")
