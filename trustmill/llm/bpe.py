@@ -250,7 +250,7 @@ def encode_decode(docs: DataFrame, text: str = "text", vocabulary: str | None =
                 arrays += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_bytes, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *arrays], names=[*rest, *new])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(common.released(run), schema)
 
 
 def fold_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word") -> DataFrame:

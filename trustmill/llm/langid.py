@@ -29,6 +29,8 @@ from . import common
 TRAIN_DOCS, TRAIN_WINDOWS, LANGUAGES = 800, 6, 64
 WINDOW, EMBED, FILTERS, WIDTHS = 64, 8, 16, (2, 3, 4)
 STEPS, BATCH, RATE = 700, 256, 0.004
+#: Batches of texts to predict.
+BATCH_ROWS, BATCH_BYTES = 256, 2 << 20
 UND = "und"
 _LETTER = re.compile("[A-Za-z]").search
 
@@ -153,7 +155,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 def identify(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
     """Adds lang_pred and score to docs."""
     spark = docs.sparkSession
-    common.tune(spark)
+    common.tune(spark, BATCH_ROWS, BATCH_BYTES)
     new = ("lang_pred", "score")
     rest = [c for c in docs.columns if c.lower() not in new]
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -164,7 +166,7 @@ def identify(docs: DataFrame, network: Network, text: str = "text") -> DataFrame
             langs, scores = shipped.value.predict(batch.column(len(rest)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*rest, *new])
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__text")).mapInArrow(common.released(run), schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, graph
-from .repeats import _mix, _tables, _U
+from .repeats import _mix, _powers, _tables, _U
 
 WORDS, SIMILAR = 5, 0.8
 #: At a shingle similarity of 0.8 two texts share one of 24 sketches of 4 with a probability over 0.99999, at 0.6 of 0.96.
@@ -132,6 +132,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [(x >> _U(32)).astype(np.uint32).tobytes() for x in parts]
         columns = [batch.column(0), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array(counts, pa.int64()), pa.array(drawn, pa.list_(pa.int64())), pa.array(shorts, pa.list_(pa.int64())), pa.array(words, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n", "sketch", "short", "words"])
+    _powers.clear()  # 16 bytes for each byte of the longest batch
 
 
 def _diagonals(x: np.ndarray, y: np.ndarray, most: int) -> int:
@@ -326,7 +327,7 @@ def _stars(buckets: DataFrame, labels: DataFrame, words: DataFrame, least: float
         dealt = pairs.join(parts, "centre").select("centre", F.pmod(F.xxhash64("node"), "g").cast("int").alias("part"), F.lit(1).alias("other"), "node")
         heads = parts.select("centre", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("part"), F.lit(0).alias("other"), F.col("centre").alias("node"))
         rows = dealt.unionByName(heads).join(words, "node").select("centre", "part", "other", "node", "words")
-        found = common.materialise(rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "other").mapInArrow(_star_links(least), _LINKS), "links")
+        found = common.materialise(rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "other").mapInArrow(common.released(_star_links(least)), _LINKS), "links")
         if not found.isEmpty():
             labels = _classes(labels, found)
     return labels
@@ -350,7 +351,7 @@ def _every(members: DataFrame, labels: DataFrame, sketched: DataFrame, words: Da
     full = dealt.join(sketched, "node").join(words, "node").select("key", "step", "first", "second", "own", "away", "j", "node", "n", "class", "sketch", "words")
     # Rows of a block stand together.
     blocks = full.repartition("key", "step", "first", "second").sortWithinPartitions("key", "step", "first", "second")
-    found = common.materialise(blocks.mapInArrow(_block_links(least), _LINKS).distinct(), "links")
+    found = common.materialise(blocks.mapInArrow(common.released(_block_links(least)), _LINKS).distinct(), "links")
     return labels if found.isEmpty() else _classes(labels, found)
 
 
@@ -404,7 +405,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     common.tune(spark, BATCH_ROWS, BATCH_BYTES)
     with common.scratch(spark):
         rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-        drawn = rows.mapInArrow(_sketch, "doc_id long, text_key binary, n long, sketch array<long>, short array<long>, words binary").withColumn("row", F.monotonically_increasing_id())
+        drawn = rows.mapInArrow(common.released(_sketch), "doc_id long, text_key binary, n long, sketch array<long>, short array<long>, words binary").withColumn("row", F.monotonically_increasing_id())
         drawn = common.materialise(drawn, "sketches")
         nodes = drawn.groupBy("text_key").agg(F.min(F.struct("row", "n", "sketch", "short")).alias("m")).select("text_key", F.col("m.row").alias("node"), F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch"), F.col("m.short").alias("short"))
         nodes = common.materialise(nodes, "nodes")
