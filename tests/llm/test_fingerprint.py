@@ -47,3 +47,28 @@ def test_repeated_ids_and_empty(spark):
     rows = spark.createDataFrame([(1, "b"), (1, "a"), (None, "n"), (1, "a")], "doc_id long, text string")
     assert len(fp.fingerprint_versions(rows).collect()) == 4
     assert fp.fingerprint_versions(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("per_range", [2, 1000])
+def test_repeated_rows_follow_in_order_of_text(spark, monkeypatch, per_range):
+    monkeypatch.setattr(fp, "RANGE", per_range)
+    held = [(1, "b b b b"), (1, "a a a a"), (None, "n n n n"), (1, "a a a a"), (2, None), (2, "b b b b"), (0, "zero at all")]
+    order = sorted(((i is not None, i or 0, t or "") for i, t in held))
+    want = []
+    for (_, _, own), (_, _, then) in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(own) // 4
+        want.append((own, then, own[: len(own) - cut] + then[:cut]))
+    texts = sorted({own for own, _, _ in want})
+    found = vectors(spark, texts)
+    of = {t: found[i].v for i, t in enumerate(texts)}
+    # Dealt out anew at each read, with columns that clash with the operator's own.
+    rows = spark.createDataFrame([(i, t, 1, 2) for i, t in held], "doc_id long, text string, next_id int, __place int").repartition(5, F.rand())
+    got = fp.fingerprint_versions(rows).collect()
+    assert sorted((r.v, r.w, r.edited_sha256) for r in got) == sorted((of[own], of[then], hashlib.sha256(e.encode()).hexdigest()) for own, then, e in want)
+
+
+def test_very_long_text(spark):
+    long = "word " * 300_000 + "\nlast line"
+    rows = spark.createDataFrame([(1, long), (2, "last line\n" + "word " * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fp.fingerprint_versions(rows).collect()}
+    assert got[1].n_chars == len(long) and got[1].v == got[2].v == got[1].w

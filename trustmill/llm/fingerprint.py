@@ -102,28 +102,32 @@ def _range(order: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(held, F.least(at + step, F.lit(n)) - 1) <= order), at + step).otherwise(at))
 
 
-def followed(docs: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
-    """docs with __range, next_row and next_text: those of the document of the next id, after the last the first.
+def followed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with __range, __at, next_id and next_text: id and text of the document of the next id, after the last of the first.
 
     Quantiles of the ids cut them into ranges of about RANGE documents; each range is ordered in a task of its own, and
-    its last document gets the first one of the next range.
+    its last document gets the first one of the next range. Range and place number the rows. All this follows from ids and texts
+    alone, so rows that are read again after an executor was lost are numbered and paired as before.
     """
     order = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     pieces = min(MOST_RANGES, docs.count() // RANGE + 1)
     shares = [(k + 1) / pieces for k in range(pieces - 1)]
     bounds = sorted(set(docs.select(F.percentile_approx(order, shares, 20 * pieces)).first()[0] or [])) if shares else []
     ranged = docs.withColumn("__range", _range(order, bounds))
-    by = [F.col(doc_id).asc_nulls_first(), F.col(text), F.col(row)]
-    own = Window.partitionBy("__range").orderBy(*by)
-    placed = ranged.withColumns({"next_row": F.lead(row).over(own), "next_text": F.lead(text).over(own)})
-    heads = ranged.groupBy("__range").agg(F.min(F.struct(doc_id, text, row)).alias("head"))
+    own = Window.partitionBy("__range").orderBy(F.col(doc_id).asc_nulls_first(), F.col(text))
+    placed = ranged.withColumns({"__at": F.row_number().over(own), "__then": F.lead(F.struct(doc_id, text)).over(own)})
+    heads = ranged.groupBy("__range").agg(F.min(F.struct(doc_id, text)).alias("head"))
     # A row for each range: which range comes next.
     every = Window.orderBy("__range")
     chain = heads.select("__range", F.lead("__range").over(every).alias("then"), F.first("__range").over(every).alias("start")).select("__range", F.coalesce("then", "start").alias("then"))
     after = chain.join(heads.select(F.col("__range").alias("then"), "head"), "then").select("__range", "head")
-    last = F.col("next_row").isNull()
-    out = placed.join(after, "__range")
-    return out.select(*docs.columns, "__range", F.when(last, F.col(f"head.{row}")).otherwise(F.col("next_row")).alias("next_row"), F.when(last, F.col(f"head.{text}")).otherwise(F.col("next_text")).alias("next_text"))
+    out = placed.join(after, "__range").withColumn("__then", F.coalesce("__then", "head"))
+    return out.select(*docs.columns, "__range", "__at", F.col(f"__then.{doc_id}").alias("next_id"), F.col(f"__then.{text}").alias("next_text"))
+
+
+def _version(doc_id: Column, text: Column) -> list[Column]:
+    """Two numbers that stand for an id and its text: rows that have both in common have one fingerprint."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(0).cast("long")), F.xxhash64(doc_id.isNull(), text)]
 
 
 def fingerprint_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,17 +135,21 @@ def fingerprint_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     The edited text has its last quarter of code points (rounded down) replaced by as many of the next document's first.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     edited = F.expr("concat(substring(text, 1, length(text) - cast(floor(length(text) / 4) as int)), substring(next_text, 1, cast(floor(length(text) / 4) as int)))")
-    both = followed(rows, "doc_id", "text", "row").select("__range", "doc_id", "row", "next_row", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    sha = F.sha2(F.col("edited"), 256)
-    versions = both.select("__range", "doc_id", "row", "next_row", "n_chars", sha.alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
+    own, following = _version(F.col("doc_id"), F.col("text")), _version(F.col("next_id"), F.col("next_text"))
+    names = [own[0].alias("own_id"), own[1].alias("own_text"), following[0].alias("then_id"), following[1].alias("then_text")]
+    both = followed(rows, "doc_id", "text").select("__range", "__at", "doc_id", *names, F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
     # Rows are dealt out by range already: with it in the key, sums need no further exchange.
-    key = ["__range", "doc_id", "row", "next_row", "n_chars", "edited_sha256", "kind"]
-    found = fingerprints(versions.select(*key[:-1], "x.kind", "x.t"), key, "t")
-    pair = found.groupBy(*key[:-1]).agg(F.max(F.when(F.col("kind") == 0, F.col("v"))).alias("v"), F.max(F.when(F.col("kind") == 1, F.col("v"))).alias("e"))
+    key = ["__range", "__at", "doc_id", "own_id", "own_text", "then_id", "then_text", "n_chars", "edited_sha256"]
+    versions = both.withColumn("edited_sha256", F.sha2(F.col("edited"), 256))
+    versions = versions.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
+    found = fingerprints(versions.select(*key, "x.kind", "x.t"), [*key, "kind"], "t")
+    pair = found.groupBy(*key).agg(F.max(F.when(F.col("kind") == 0, F.col("v"))).alias("v"), F.max(F.when(F.col("kind") == 1, F.col("v"))).alias("e"))
     pair = common.materialise(pair, "fingerprints")
-    return pair.join(pair.select(F.col("row").alias("next_row"), F.col("v").alias("w")), "next_row").select("doc_id", "n_chars", "edited_sha256", "v", "e", "w")
+    # Of repeated rows one vector, which is the same for all.
+    heads = pair.groupBy(F.col("own_id").alias("then_id"), F.col("own_text").alias("then_text")).agg(F.first("v").alias("w"))
+    return pair.join(heads, ["then_id", "then_text"]).select("doc_id", "n_chars", "edited_sha256", "v", "e", "w")
 
 
 def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
