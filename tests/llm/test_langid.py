@@ -48,6 +48,24 @@ def test_nothing_to_learn(spark):
     assert langid.train(docs.limit(0)).labels == []
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 140)
+    rows = [(i, text("en", i, 200), f"l{i % 70:02}") for i in range(2100)]
+    drawn = []
+    monkeypatch.setattr(langid.Network, "fit", lambda self, x, y: drawn.append((x, y)) or self)
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    x, y = drawn[0]
+    assert len(net.labels) == 70 and x.shape == (len(y), langid.WINDOW)
+    # Two documents of a language on average, each of TRAIN_WINDOWS windows at most.
+    assert len(set(y.tolist())) > 50 and len(y) <= 2 * 140 * langid.TRAIN_WINDOWS
+
+
+def test_empty_table(spark, network):
+    docs = spark.createDataFrame([], "doc_id long, text string, Score double")
+    got = langid.identify(docs, network)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"] and got.count() == 0
+
+
 def test_fold(spark):
     import zlib
 

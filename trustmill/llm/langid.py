@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Documents sampled for each language, windows taken from each of them, languages learned (the most frequent).
-TRAIN_DOCS, TRAIN_WINDOWS, LANGUAGES = 800, 6, 64
+#: Documents sampled for each language, windows taken from each of them, documents sampled in all: with more than
+#: SAMPLE_DOCS / TRAIN_DOCS languages each has fewer. Every language that has training documents is learned.
+TRAIN_DOCS, TRAIN_WINDOWS, SAMPLE_DOCS = 800, 6, 51_200
 WINDOW, EMBED, FILTERS, WIDTHS = 64, 8, 16, (2, 3, 4)
 STEPS, BATCH, RATE = 700, 256, 0.004
 #: Batches of texts to predict.
@@ -132,24 +133,38 @@ class Network:
         return langs, scores
 
 
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """TRAIN_WINDOWS windows of each text (lang, text, k), drawn by its hash k, so that no whole text goes to the driver."""
+    for batch in batches:
+        langs, keys, found = [], [], []
+        for lang, text, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            w, _ = windows([text.encode("utf-8", "replace")])
+            langs.append(lang)
+            keys.append(k)
+            found.append(w[np.random.default_rng(k & 0xFFFFFFFF).permutation(len(w))[:TRAIN_WINDOWS]].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.int64()), pa.array(found, pa.binary())], names=["lang", "k", "w"])
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Network:
-    """Learns from about train_docs documents of each language, drawn by a hash of the id, outside the held-out fold."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~common.training_fold(F.col(doc_id)))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
+    """Learns from about train_docs documents of each language, SAMPLE_DOCS in all, drawn by a hash of the id, outside the held-out fold."""
+    common.tune(docs.sparkSession, BATCH_ROWS, BATCH_BYTES)
+    rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("id"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.training_fold(F.col("id")))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     labels = sorted(counts)
     if not labels:
         return Network([])
-    share = F.create_map(*[F.lit(v) for k in labels for v in (k, min(1.0, train_docs / counts[k]))])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(F.col(lang).isin(labels) & (draw < share[F.col(lang)])).select(lang, F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("k")).collect()
-    rng = np.random.default_rng(3)
-    x, y = [], []
-    for r in sorted(sample, key=lambda r: (r[0], r["k"])):
-        w, _ = windows([r["text"].encode("utf-8", "replace")])
-        w = w[rng.permutation(len(w))[:TRAIN_WINDOWS]]
-        x.append(w)
-        y += [labels.index(r[0])] * len(w)
-    return Network(labels).fit(np.concatenate(x), np.array(y))
+    each = min(train_docs, max(1, SAMPLE_DOCS // len(labels)))
+    share = F.create_map(*[F.lit(v) for k in labels for v in (k, min(1.0, each / counts[k]))])
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rows.where(draw < share[F.col("lang")]).select("lang", "text", F.xxhash64("id", "text").alias("k"))
+    held = sample.mapInArrow(common.released(_drawn), "lang string, k long, w binary").collect()
+    number = {k: i for i, k in enumerate(labels)}
+    x, y = [np.zeros((0, WINDOW), np.uint8)], []
+    for r in sorted(held, key=lambda r: (r[0], r[1])):
+        x.append(np.frombuffer(r["w"], np.uint8).reshape(-1, WINDOW))
+        y += [number[r[0]]] * len(x[-1])
+    return Network(labels).fit(np.concatenate(x), np.array(y)) if y else Network([])
 
 
 def identify(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
