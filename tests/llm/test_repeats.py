@@ -1,7 +1,11 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from trustmill.llm import repeats
 
@@ -60,3 +64,58 @@ def test_against_brute_force(spark, seed, hot, chunk):
 
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string, spans int")).count() == 0
+
+
+def test_slices_and_buckets_by_bytes(spark):
+    """Small slices, and more buckets than shuffle partitions, give the same rows."""
+    rows = made(4, 60)
+    out = {}
+    for kind, most in (("few", 16), ("all", 1 << 40)):
+        batch = pa.RecordBatch.from_arrays([pa.array([1 << 60 if r[0] is None else r[0] for r in rows]), pa.array(range(len(rows))), pa.array([r[1] for r in rows])], names=["id", "key", "text"])
+        held = [(0, *(x.as_py() for x in (b.column(c)[i] for c in ("docs", "places", "body")))) for b in repeats.map_anchors(1, 1 << 12, 2)(iter([batch])) for i in range(len(b)) if b.column("bucket")[i].is_valid]
+        out[kind] = [found(b) for b in repeats.settle_anchors(held, 1 << 12, most)]
+    assert out["few"] == out["all"] and out["all"][0]
+    left = {r["key"]: (r["spans"], r["open"]) for b in repeats.settle_anchors(held, 1 << 12) for r in b.to_pylist()}
+    lists = [pa.array([[left[k][i]] if k in left else [] for k in range(len(rows))], pa.list_(pa.binary())) for i in (0, 1)]
+    batch = pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["id", "key", "text", "spans", "open"])
+    held = [(0, *(x.as_py() for x in (b.column(c)[i] for c in ("docs", "places", "body")))) for b in repeats.map_suffixes(1, 1 << 12)(iter([batch])) for i in range(len(b)) if b.column("bucket")[i].is_valid]
+    few, whole = ([found(b) for b in repeats.settle_suffixes(held, 1 << 12, most)] for most in (16, 1 << 40))
+    assert few == whole and whole[0]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted([tuple(r[:5]) + (bytes(r[5]),) for r in repeats.remove_repeats(docs, keep=True, hot=2, bucket=500).collect()], key=str)
+    assert got == brute(rows)
+
+
+def found(batch):
+    return sorted((r["id"], r["key"], sorted(np.frombuffer(r["spans"], np.int64).tolist()), sorted(np.frombuffer(r["open"], np.int64).tolist())) for r in batch.to_pylist())
+
+
+def test_memory_of_a_bucket_is_bounded():
+    """Beside the packed rows, as many bytes for a bucket of 1.6 million anchors as for a slice."""
+    rng, per, pack = np.random.default_rng(1), 4000, zstandard.ZstdCompressor(1).compress
+    held = []
+    for c in range(400):
+        places, docs = np.zeros(per, repeats._ANCHOR), np.zeros(50, repeats._DOC)
+        places["a"], places["x"], places["p"] = np.sort(rng.integers(0, 1 << 32, per)), rng.integers(0, 1 << 32, per), rng.integers(0, 1 << 16, per)
+        docs["id"], docs["start"] = np.arange(50) + c * 50, np.arange(50) * 1000
+        held.append((0, repeats._shrink(docs, pack), repeats._shrink(places, pack), None))
+    tracemalloc.start()
+    try:
+        for _ in repeats.settle_anchors(held, repeats.CHUNK):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_chunk():
+    """Hashes of a chunk: three arrays of 8 bytes for each of its own, and what does not grow with it."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("etaoin shrdlu", k=4000)).encode() for _ in range(500)]
+    repeats._tables(10)
+    tracemalloc.start()
+    try:
+        repeats.Chunk(list(range(500)), [0] * 500, [0] * 500, texts, [True] * 500, repeats.CHUNK)
+        assert tracemalloc.get_traced_memory()[1] < 36 * 2_000_000
+    finally:
+        tracemalloc.stop()

@@ -18,6 +18,9 @@ the first document's travels. An anchor with many different neighbourhoods in a
 share of all documents) travels twice from each chunk; its windows are then dealt out one by one, by their
 own hash, so that no key gathers rows in proportion to the documents.
 
+Memory: there are as many buckets as the texts have BUCKET bytes, so a bucket does not grow with the input, and a bucket is
+settled in slices of SLICE anchors or windows, each with all of its equals. Packed rows are byte planes under zstd.
+
 Defined cases: null and empty texts keep nothing and lose nothing; texts shorter than SPAN bytes lose nothing; documents
 of equal id do not count as earlier than one another; a null id comes after all others;
 very long texts are taken in overlapping segments; an empty table gives an empty table.
@@ -44,6 +47,12 @@ _W = SPAN - GRAM + 1  # anchors that a window chooses from
 CHUNK = 2 << 20
 #: Different neighbourhoods in a chunk that make an anchor hot.
 HOT = 48
+#: Bytes of text for which a bucket takes the anchors, at most, whatever the number of shuffle partitions is.
+BUCKET = 32 << 20
+#: Anchors or windows that are sorted at a time.
+SLICE = 1 << 19
+#: Positions whose hashes are worked out at a time.
+_BLOCK = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 _powers: list[np.ndarray] = []
@@ -65,11 +74,14 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
     """f (minimum or maximum) over every w neighbours."""
-    n, size = len(x) - w + 1, 1
-    while size * 2 <= w:
-        x = f(x[:-size], x[size:])
-        size *= 2
-    return f(x[:n], x[w - size : w - size + n]) if size < w else x[:n]
+    out = np.empty(len(x) - w + 1, x.dtype)
+    for k in range(0, len(out), _BLOCK):
+        y, n, size = x[k : k + _BLOCK + w - 1], len(out[k : k + _BLOCK]), 1
+        while size * 2 <= w:
+            y = f(y[:-size], y[size:])
+            size *= 2
+        out[k : k + n] = f(y[:n], y[w - size : w - size + n]) if size < w else y[:n]
+    return out
 
 
 class Chunk:
@@ -89,16 +101,27 @@ class Chunk:
         if n < SPAN:
             return
         power, self.inverse = _tables(n + 1)
-        self.sums = np.concatenate([np.zeros(1, _U), ((np.frombuffer(self.raw, np.uint8).astype(_U) + _U(1)) * power[:n]).cumsum()])
-        h = _mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.inverse[: n - GRAM + 1]) | _U(1)
+        # Each of these arrays takes 8 bytes for one of the chunk: few at a time, temporary ones by blocks.
+        self.sums = np.zeros(n + 1, _U)
+        h, raw = np.empty(n, _U), np.frombuffer(self.raw, np.uint8)
+        for k in range(0, n, _BLOCK):
+            h[k : k + _BLOCK] = (raw[k : k + _BLOCK].astype(_U) + _U(1)) * power[k : min(k + _BLOCK, n)]
+        np.cumsum(h, out=self.sums[1:])
+        h = h[: n - GRAM + 1]
+        for k in range(0, len(h), _BLOCK):
+            t = min(k + _BLOCK, len(h))
+            h[k:t] = _mix((self.sums[k + GRAM : t + GRAM] - self.sums[k:t]) * self.inverse[k:t]) | _U(1)
         least = _slide(h, _W, np.minimum)
-        edge = np.zeros(n + 1, np.int64)  # windows that cross an end are none
-        np.add.at(edge, np.maximum(self.starts, self.ends - (SPAN - 1)), 1)
-        np.add.at(edge, self.ends, -1)
-        least[edge.cumsum()[: n - SPAN + 1] > 0] = 0
+        for a, b in zip(np.maximum(self.starts, self.ends - (SPAN - 1)).tolist(), self.ends.tolist(), strict=True):
+            least[a:b] = 0  # windows that cross an end are none
         self.least = least
-        pad = np.zeros(_W - 1, _U)
-        self.at = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), _W, np.maximum) == h)
+        at = []
+        for k in range(0, len(h), _BLOCK):
+            t, a = min(k + _BLOCK, len(h)), max(k - _W + 1, 0)
+            near = np.zeros(t - k + _W - 1, _U)
+            near[a - (k - _W + 1) :][: len(least[a:t])] = least[a:t]
+            at.append(np.flatnonzero(_slide(near, _W, np.maximum) == h[k:t]) + k)
+        self.at = np.concatenate(at)
         self.hash = h[self.at]
 
     def of(self, at: np.ndarray) -> np.ndarray:
@@ -181,15 +204,24 @@ def _rows(columns: dict[str, pa.Array], kinds: list) -> pa.RecordBatch:
 _DOC = np.dtype([("id", "<i8"), ("base", "<u4"), ("start", "<u4"), ("key", "<u4")])
 #: 12 bytes an anchor: its hash (32 bits beside the bucket's), its neighbourhood's (40 bits), its place and whether it is hot (24 bits).
 _ANCHOR = np.dtype([("a", "<u4"), ("x", "<u4"), ("y", "u1"), ("p", "<u2"), ("q", "u1")])
-_PLACE = np.dtype([("at", "<u4"), ("size", "u1"), ("windows", "u1")])
+_PLACE = np.dtype([("at", "<u4"), ("size", "u1"), ("windows", "u1"), ("part", "u1")])
+
+
+def _shrink(rows: np.ndarray, pack) -> bytes:
+    """Packed rows as planes of their first bytes, second bytes and so on: sorted and small numbers shrink."""
+    return pack(np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1).T).tobytes())
+
 
+def _grown(raw: bytes, kind: np.dtype, unpack) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpack(raw), np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
 
-def _document_table(c: Chunk, seg: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The segments in use, and the number of each one among them."""
-    used, number = np.unique(seg, return_inverse=True)
+
+def _document_table(c: Chunk, seg: np.ndarray) -> np.ndarray:
+    """The segments in use."""
+    used = np.unique(seg)
     table = np.zeros(len(used), _DOC)
     table["id"], table["base"], table["start"], table["key"] = c.ids[used], c.bases[used] // c.unit, c.starts[used], c.keys[used]
-    return table.tobytes(), number
+    return table
 
 
 def _place(places: np.ndarray) -> np.ndarray:
@@ -204,19 +236,19 @@ def _deal(c: Chunk, bucket: np.ndarray, places: np.ndarray, body: tuple[np.ndarr
     numbers, first = np.unique(bucket, return_index=True)
     cuts = np.append(first, len(bucket))
     seg = c.of(_place(places))
-    tables = [_document_table(c, seg[a:b])[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    columns = {"bucket": pa.array(numbers, pa.int32()), "docs": pa.array(tables, pa.binary()), "places": pa.array([places[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())}
+    pack = zstandard.ZstdCompressor(1).compress
+    tables = [_shrink(_document_table(c, seg[a:b]), pack) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    columns = {"bucket": pa.array(numbers, pa.int32()), "docs": pa.array(tables, pa.binary()), "places": pa.array([_shrink(places[a:b], pack) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())}
     if body is not None:
-        ends, raw, pack = np.concatenate([[0], body[1].cumsum()])[cuts], body[0].tobytes(), zstandard.ZstdCompressor(1).compress
+        ends, raw = np.concatenate([[0], body[1].cumsum()])[cuts], body[0].tobytes()
         columns["body"] = pa.array([pack(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
     return _rows(columns, _DEALT + _RESULT)
 
 
-def _join(docs: list[bytes], places: list[bytes], kind: np.dtype, unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All places, with their id, key and position in the document."""
+def _join(rows: list[tuple[np.ndarray, np.ndarray]], unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All places of (documents, places), with their id, key and position in the document."""
     found, ids, keys, at = [], [], [], []
-    for d, p in zip(docs, places, strict=True):
-        table, part = np.frombuffer(d, _DOC), np.frombuffer(p, kind)
+    for table, part in rows:
         place = _place(part)
         seg = np.searchsorted(table["start"], place, "right") - 1
         found.append(part)
@@ -282,6 +314,7 @@ def map_anchors(buckets: int, chunk: int, most_kinds: int):
             yield _deal(c, bucket[order].astype(np.int32), places[order])
             if found := _by_document(c.ids, c.keys, spans, open_):
                 yield _rows(found, _DEALT + _RESULT)
+            del c  # before the next one is made
 
     return run
 
@@ -306,24 +339,42 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], settle) -> Iterator[pa.RecordB
         yield from settle(held)
 
 
-def settle_anchors(held: list[tuple], unit: int) -> Iterator[pa.RecordBatch]:
-    """Of one bucket: neighbourhoods that an earlier document has, too, and anchors left open."""
-    p, ids, keys, at = _join([r[1] for r in held], [r[2] for r in held], _ANCHOR, unit)
-    x = p["x"].astype(_U) | p["y"].astype(_U) << _U(32)
-    order = np.lexsort((ids, x, p["a"]))
-    a, x, hot, ids, keys, at = (v[order] for v in (p["a"], x, p["q"] >> 7, ids, keys, at))
-    pair, n = _groups(a, x), len(a)
-    later = ids > _spread(ids[pair], pair, n)
-    one = _groups(a)
-    first = np.where(later, np.iinfo(np.int64).max, ids)
-    last = np.where(later, np.iinfo(np.int64).min, ids)
-    warm = np.maximum.reduceat(hot, one)
-    left = _spread((np.minimum.reduceat(first, one) < np.maximum.reduceat(last, one)) | (warm > 0), one, n) & ~later
-    number = np.arange(n)
+def _found(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def settle_anchors(held: list[tuple], unit: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Of one bucket: neighbourhoods that an earlier document has, too, and anchors left open. Rows have their anchors in order of a,
+    of which a slice takes a range."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    rows = [(_grown(r[1], _DOC, unpack), _grown(r[2], _ANCHOR, unpack)) for r in held]
+    slices = -(-sum(len(p) for _, p in rows) // most)
+    edges = np.linspace(0, 1 << 32, slices + 1)[1:-1].astype(np.uint32)
+    cuts = [[0, *np.searchsorted(p["a"], edges).tolist(), len(p)] for _, p in rows]
+    spans, open_ = [], []
+    for k in range(slices):
+        part = [(d, p[c[k] : c[k + 1]]) for (d, p), c in zip(rows, cuts, strict=True) if c[k] < c[k + 1]]
+        if not part:
+            continue
+        p, ids, keys, at = _join(part, unit)
+        x = p["x"].astype(_U) | p["y"].astype(_U) << _U(32)
+        order = np.lexsort((ids, x, p["a"]))
+        a, x, hot, ids, keys, at = (v[order] for v in (p["a"], x, p["q"] >> 7, ids, keys, at))
+        pair, n = _groups(a, x), len(a)
+        later = ids > _spread(ids[pair], pair, n)
+        one = _groups(a)
+        first = np.where(later, np.iinfo(np.int64).max, ids)
+        last = np.where(later, np.iinfo(np.int64).min, ids)
+        warm = np.maximum.reduceat(hot, one)
+        left = _spread((np.minimum.reduceat(first, one) < np.maximum.reduceat(last, one)) | (warm > 0), one, n) & ~later
+        spans.append((ids[later], keys[later], at[later]))
+        open_.append((ids[left], keys[left], at[left] * 2 + _spread(warm, one, n)[left]))
+    if not spans:
+        return
+    (ids, keys, at), (open_ids, open_keys, left) = _found(spans), _found(open_)
     # The neighbourhood of a settled anchor is cut at the text's ends where its bytes are taken out.
-    spans = np.stack([number, at - (SPAN - GRAM), at + SPAN], 1)[later]
-    open_ = np.stack([number, at * 2 + _spread(warm, one, n)], 1)[left]
-    if found := _by_document(ids, keys, spans, open_):
+    spans = np.stack([np.arange(len(at)), at - (SPAN - GRAM), at + SPAN], 1)
+    if found := _by_document(np.append(ids, open_ids), np.append(keys, open_keys), spans, np.stack([np.arange(len(left)) + len(at), left], 1)):
         yield _rows(found, _RESULT)
 
 
@@ -378,7 +429,7 @@ def map_suffixes(buckets: int, chunk: int):
             first, last = c.runs(at, h) if len(at) else (at, at)
             some = first <= last
             at, hot, h, first, last = at[some], hot[some], h[some], first[some], last[some]
-            bucket = (_mix(h * _U(_BASE)) & _U(0xFFFFFFFF)) % _U(buckets)
+            own = _mix(h * _U(_BASE))
             windows = np.concatenate([np.arange(f, t + 1) for f, t in zip(first[hot], last[hot], strict=True)]) if hot.any() else np.zeros(0, np.int64)
             if len(windows):  # of equal windows here only the first document's travels
                 windows = np.unique(windows)
@@ -392,18 +443,19 @@ def map_suffixes(buckets: int, chunk: int):
                 if found := _by_document(c.ids, c.keys, np.stack([seg[later], windows[later] + shift, windows[later] + shift + SPAN], 1), _NONE2):
                     yield _rows(found, _DEALT + _RESULT)
                 windows, g = windows[~later], g[~later]
-                first, last = np.concatenate([first[~hot], windows]), np.concatenate([last[~hot], windows])
-                bucket = np.concatenate([bucket[~hot], (g & _U(0xFFFFFFFF)) % _U(buckets)])
+                first, last, own = np.concatenate([first[~hot], windows]), np.concatenate([last[~hot], windows]), np.concatenate([own[~hot], g])
             if not len(first):
                 continue
+            bucket = (own & _U(0xFFFFFFFF)) % _U(buckets)
             order = np.argsort(bucket, kind="stable")
-            bucket, first, last = bucket[order], first[order], last[order]
+            bucket, first, last, own = bucket[order], first[order], last[order], own[order]
             places = np.zeros(len(first), _PLACE)
-            places["at"], places["size"], places["windows"] = first, last - first + SPAN, last - first + 1
+            places["at"], places["size"], places["windows"], places["part"] = first, last - first + SPAN, last - first + 1, own >> _U(56)
             size = places["size"].astype(np.int64)
             begin = size.cumsum() - size
             body = np.frombuffer(c.raw, np.uint8)[np.arange(size.sum()) - np.repeat(begin - first, size)]
             yield _deal(c, bucket.astype(np.int32), places, (body, size))
+            del c
 
     return run
 
@@ -420,21 +472,32 @@ def suffix_order(body: np.ndarray, at: np.ndarray, ties: np.ndarray) -> tuple[np
     return order, _groups(*(k[order] for k in columns))
 
 
-def settle_suffixes(held: list[tuple], unit: int) -> Iterator[pa.RecordBatch]:
-    """Of one bucket: windows whose longest previous factor has SPAN bytes or more."""
-    p, ids, keys, at = _join([r[1] for r in held], [r[2] for r in held], _PLACE, unit)
+def settle_suffixes(held: list[tuple], unit: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Of one bucket: windows whose longest previous factor has SPAN bytes or more. Equal windows have equal parts; a slice takes some parts."""
     unpack = zstandard.ZstdDecompressor().decompress
+    p, ids, keys, at = _join([(_grown(r[1], _DOC, unpack), _grown(r[2], _PLACE, unpack)) for r in held], unit)
     body = np.frombuffer(b"".join(unpack(r[3]) for r in held), np.uint8)
-    size, n = p["size"].astype(np.int64), p["windows"].astype(np.int64)
-    owner = np.repeat(np.arange(len(p)), n)
-    step = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
-    order, runs = suffix_order(body, (size.cumsum() - size)[owner] + step, ids[owner])
-    owner, step = owner[order], step[order]
-    who = ids[owner]
-    # Ties stand in order of documents: a run's first is the previous smaller document of those behind it.
-    hit = who > _spread(who[runs], runs, len(who))
-    start = (at[owner] + step)[hit]
-    if found := _by_document(ids, keys, np.stack([owner[hit], start, start + SPAN], 1), _NONE2):
+    begin = p["size"].cumsum(dtype=np.int64) - p["size"]
+    slices = (np.bincount(p["part"], p["windows"], 256).cumsum().astype(np.int64) - 1) // most
+    spans = []
+    for k in np.unique(slices[p["part"]]).tolist():
+        own = np.flatnonzero(slices[p["part"]] == k)
+        size, n = p["size"][own].astype(np.int64), p["windows"][own].astype(np.int64)
+        start = size.cumsum() - size
+        owner = np.repeat(np.arange(len(own)), n)
+        step = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+        order, runs = suffix_order(body[np.arange(size.sum()) + np.repeat(begin[own] - start, size)], start[owner] + step, ids[own][owner])
+        who = ids[own][owner[order]]
+        # Ties stand in order of documents: a run's first is the previous smaller document of those behind it.
+        hit = np.zeros(len(order) + 2, bool)
+        hit[order[who > _spread(who[runs], runs, len(who))] + 1] = True
+        # Neighbouring windows of a place make one span.
+        edge = np.append(step == 0, True)
+        first = np.flatnonzero(hit[1:-1] & (~hit[:-2] | edge[:-1]))
+        last = np.flatnonzero(hit[1:-1] & (~hit[2:] | edge[1:]))
+        i = own[owner[first]]
+        spans.append((i, at[i] + step[first], at[i] + step[last] + SPAN))
+    if spans and (found := _by_document(ids, keys, np.stack(_found(spans), 1), _NONE2)):
         yield _rows(found, _RESULT)
 
 
@@ -463,23 +526,24 @@ def _finish(keep: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: bool = False, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: bool = False, chunk: int = CHUNK, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
     """doc_id with n_bytes, n_removed, n_spans, kept_sha256, and with keep the bytes that are left."""
     spark = docs.sparkSession
     common.tune(spark)
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(f"`{text}`"))).first()[0] or 0
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket))
     own = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1))
     # key tells rows of one id but different texts apart
     rows = docs.select(own.alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id")).withColumn("key", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
 
     def dealt(df: DataFrame, mapped, settle) -> DataFrame:
         own = "coalesce(bucket, cast(pmod(hash(id, key), %d) as int))" % buckets
-        moved = df.mapInArrow(mapped, _SCHEMA).repartition(buckets, F.expr(own)).sortWithinPartitions("bucket")
-        found = moved.mapInArrow(lambda batches: _by_bucket(batches, lambda held: settle(held, chunk)), "id long, key long, spans binary, open binary")
+        moved = df.mapInArrow(common.released(mapped), _SCHEMA).repartition(buckets, F.expr(own)).sortWithinPartitions("bucket")
+        found = moved.mapInArrow(common.released(lambda batches: _by_bucket(batches, lambda held: settle(held, chunk))), "id long, key long, spans binary, open binary")
         return found.groupBy("id", "key").agg(F.collect_list(F.when(F.length("spans") > 0, F.col("spans"))).alias("spans"), F.collect_list(F.when(F.length("open") > 0, F.col("open"))).alias("open"))
 
     first = dealt(rows.select("id", "key", "text"), map_anchors(buckets, chunk, hot), settle_anchors)
-    packed = rows.select("id", "key", "doc_id", "text").mapInArrow(_pack_texts, "id long, key long, doc_id %s, text binary" % docs.schema[doc_id].dataType.simpleString())
+    packed = rows.select("id", "key", "doc_id", "text").mapInArrow(common.released(_pack_texts), "id long, key long, doc_id %s, text binary" % docs.schema[doc_id].dataType.simpleString())
     joined = packed.join(first, ["id", "key"], "left")
     settled = F.col("open").isNull() | (F.size("open") == 0)
     # Rows that are settled need their digest only; the others keep their text for the second round.
@@ -497,12 +561,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             arrays.append(pa.array([d[4] if keep else None for d in done], pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "id", "key", "text", "spans", "open", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    halfway = common.materialise(joined.mapInArrow(half, fields), "repeats")
+    halfway = common.materialise(joined.mapInArrow(common.released(half), fields), "repeats")
     waiting = halfway.where(~settled)
     second = dealt(waiting.select("id", "key", "text", "spans", "open"), map_suffixes(buckets, chunk), settle_suffixes).select("id", "key", F.col("spans").alias("more"))
     out = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *(["kept binary"] if keep else [])]
     names = ["doc_id", *(o.split()[0] for o in out)]
-    rest = waiting.join(second, ["id", "key"], "left").select("text", "spans", "more", "doc_id").mapInArrow(_finish(keep), "doc_id %s, %s" % (docs.schema[doc_id].dataType.simpleString(), ", ".join(out)))
+    rest = waiting.join(second, ["id", "key"], "left").select("text", "spans", "more", "doc_id").mapInArrow(common.released(_finish(keep)), "doc_id %s, %s" % (docs.schema[doc_id].dataType.simpleString(), ", ".join(out)))
     return halfway.where(settled).select(names).unionByName(rest).withColumnRenamed("doc_id", doc_id)
 
 
