@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 import zstandard
 
-from trustmill.llm import repeats
+from trustmill.llm import common, repeats
 
 
 def brute(rows):
@@ -90,6 +91,19 @@ def found(batch):
     return sorted((r["id"], r["key"], sorted(np.frombuffer(r["spans"], np.int64).tolist()), sorted(np.frombuffer(r["open"], np.int64).tolist())) for r in batch.to_pylist())
 
 
+def test_shuffle_files_go_with_the_first_round(spark):
+    shuffles = lambda: {f.getName().split("_")[1] for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    docs, before = spark.createDataFrame(made(5, 40), "doc_id long, text string"), shuffles()
+    setting = spark.conf.get(common.CLEANUP)
+    out = repeats.remove_repeats(docs)
+    for _ in range(40):  # they are deleted in the background
+        if len(shuffles() - before) <= 1:  # that of the sum of bytes
+            break
+        time.sleep(0.25)
+    assert len(shuffles() - before) <= 1 and spark.conf.get(common.CLEANUP) == setting
+    assert out.count() == docs.count()
+
+
 def test_memory_of_a_bucket_is_bounded():
     """Beside the packed rows, as many bytes for a bucket of 1.6 million anchors as for a slice."""
     rng, per, pack = np.random.default_rng(1), 4000, zstandard.ZstdCompressor(1).compress

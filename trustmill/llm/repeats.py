@@ -561,7 +561,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             arrays.append(pa.array([d[4] if keep else None for d in done], pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "id", "key", "text", "spans", "open", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    halfway = common.materialise(joined.mapInArrow(common.released(half), fields), "repeats")
+    halfway = common.materialise(joined.mapInArrow(common.released(half), fields), "repeats", clean=True)
     waiting = halfway.where(~settled)
     second = dealt(waiting.select("id", "key", "text", "spans", "open"), map_suffixes(buckets, chunk), settle_suffixes).select("id", "key", F.col("spans").alias("more"))
     out = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *(["kept binary"] if keep else [])]
