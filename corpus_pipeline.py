@@ -44,6 +44,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each class of near duplicates; of repeated rows one."""
+    common.give_back(spark)
     with common.scratch(spark):
         found = near_dup.near_duplicates(docs)
         least = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("m"))
@@ -57,6 +58,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of LEAST_ITEMS benchmark items."""
+    common.give_back(spark)
     with common.scratch(spark):
         texts = docs.select(_text_key().alias("text_key"), "text")
         found = decontaminate.decontaminate(texts, common.read(spark, sf_dir, "benchmark"), min_items=LEAST_ITEMS)
@@ -67,12 +69,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Generalises personal data to its kind, removes disclosing terms, and counts characters anew."""
+    common.give_back(spark)
     clean = pii.sanitise(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of ids and of what they decode to."""
+    common.give_back(spark)
     return bpe.encode_decode(docs.select("doc_id", "text"), keep_ids=True).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

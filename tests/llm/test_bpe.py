@@ -46,6 +46,15 @@ def test_small_table_forgets_but_stays_right(both, monkeypatch):
             assert ",".join(w[0] for w in words) == ",".join(map(str, theirs.encode_ordinary(text)))
 
 
+def test_table_of_long_words_is_bounded(both):
+    ours, _ = both
+    rng = random.Random(9)
+    for _ in range(32):
+        ours.learn({"".join(rng.choices("etaoin", k=3000)) for _ in range(100)})
+    held = [*ours.memo, *ours.old]
+    assert sum(map(len, held)) < 2 * (bpe.MEMO_CHARS + 300_000) and len(held) <= 2 * (bpe.MEMO + 100)
+
+
 def test_higher_order_functions_fold_alike(spark, both):
     ours, _ = both
     small = {p: r for p, r in ours.ranks.items() if r < 700}

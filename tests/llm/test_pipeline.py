@@ -55,6 +55,13 @@ def test_odd_tables(spark, tmp_path):
     assert len(set(seen)) == 1
 
 
+def test_stages_give_heap_back(spark, tmp_path):
+    old = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs, before = spark.createDataFrame([(1, "text")], "doc_id long, text string"), old()
+    corpus_pipeline.encode(spark, docs, str(tmp_path))
+    assert old() > before
+
+
 def test_scratch_tables_go(spark, tmp_path):
     spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, f"text {i} of words {i} and more", "en", "s", 1) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")

@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 from . import common
 
 #: Entries kept of distinct words in a Python worker, in each of two generations; words in use move to the younger.
-MEMO = 400_000
+MEMO = 100_000
+#: Characters of words kept in each: words may be long.
+MEMO_CHARS = 4 << 20
 #: Letters, numbers and white space among the first 256 characters.
 LATIN_L = "[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]"
 LATIN_N = "[0-9\xb2\xb3\xb9\xbc-\xbe]"
@@ -126,6 +128,7 @@ class Codec:
         self.split_latin = latin_pattern().findall if pattern == default_pattern() else None
         self.memo: dict[str, tuple[str, int, bytes]] = {}
         self.old: dict[str, tuple[str, int, bytes]] = {}
+        self.chars = 0
         self.pairs = self.__pair_table()
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
 
@@ -180,11 +183,12 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Puts words into the table: decimal ids joined by commas, their number, the bytes they decode to."""
-        if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {}
+        if len(self.memo) > MEMO or self.chars > MEMO_CHARS:
+            self.old, self.memo, self.chars = self.memo, {}, 0
         old = self.old
         new = []
         for w in words.difference(self.memo):
+            self.chars += len(w)
             if w in old:
                 self.memo[w] = old[w]
             else:
@@ -243,7 +247,7 @@ def encode_decode(docs: DataFrame, text: str = "text", vocabulary: str | None =
                 hashes.append(hashlib.sha256(joined.encode()).hexdigest())
                 plain.append(hashlib.sha256(decoded).hexdigest())
                 if keep_ids:
-                    all_ids.append(list(map(int, joined.split(","))) if joined else [])
+                    all_ids.append(np.array(joined.split(","), np.int32) if joined else np.zeros(0, np.int32))
                     all_bytes.append(decoded)
             arrays = [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(plain, pa.string())]
             if keep_ids:
