@@ -63,6 +63,18 @@ def test_against_brute_force(spark, seed, hot, chunk):
     assert got == brute(rows)
 
 
+def test_a_string_across_two_copied_passages_is_a_source(spark):
+    """Copied passages overlap in a text: strings across both start there first, though all of its bytes go."""
+    rng, rows = random.Random(7), []
+    say = lambda k: "".join(rng.choices("etaoin shrdlu", k=k))
+    for i in range(0, 160, 4):
+        x, y, z = say(150), say(30 + i % 19), say(150)
+        rows += [(i, x + y + say(40)), (i + 1, say(40) + y + z), (i + 2, x + y + z), (i + 3, say(60) + x[len(y) - 49 :] + y + z[: 49 - len(y)] + say(60))]
+    for hot in (repeats.HOT, 0):
+        got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=True, hot=hot).collect()
+        assert sorted([tuple(r[:5]) + (bytes(r[5]),) for r in got], key=str) == brute(rows)
+
+
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string, spans int")).count() == 0
 

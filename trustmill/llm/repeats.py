@@ -403,22 +403,25 @@ def map_suffixes(buckets: int, chunk: int):
         for c, more in _chunks(batches, chunk, 2):
             if not len(c.at):
                 continue
-            at, hot = [], []
+            at, hot, begun = [], [], np.zeros(len(c.raw) + 1, np.int32)
             for k, (spans, left) in enumerate(more):
                 v = np.unique(np.frombuffer(b"".join(left), np.int64))
                 p = (v >> 1) - c.bases[k]
                 size = c.ends[k] - c.starts[k]
                 inside = (p >= 0) & (p <= size - GRAM)
-                v, p = v[inside], p[inside]
-                if spans:  # what is settled need not be looked at again
-                    done = covered(_pairs(spans) - c.bases[k], size)
-                    if len(done):
-                        i = np.searchsorted(done[:, 0], np.maximum(p - (SPAN - GRAM), 0), "right") - 1
-                        open_ = (i < 0) | (done[np.maximum(i, 0), 1] < np.minimum(p + SPAN, size))
-                        v, p = v[open_], p[open_]
-                at.append(p + c.starts[k])
-                hot.append(v & 1)
+                at.append(p[inside] + c.starts[k])
+                hot.append(v[inside] & 1)
+                if spans:
+                    done = np.clip(_pairs(spans) - c.bases[k], 0, size) + c.starts[k]
+                    done = done[done[:, 1] - done[:, 0] >= SPAN]
+                    np.add.at(begun, done[:, 0], 1)
+                    np.add.at(begun, done[:, 1] - SPAN + 1, -1)
             at, hot = np.concatenate(at), np.concatenate(hot)
+            # A window within one settled neighbourhood is in an earlier document. One that only their union covers need not be: later
+            # documents may have it from here.
+            free = np.flatnonzero(np.cumsum(begun, out=begun) == 0)
+            some = np.searchsorted(free, at - (SPAN - GRAM)) < np.searchsorted(free, at, "right")
+            at, hot = at[some], hot[some]
             i = np.searchsorted(c.at, at)
             real = (i < len(c.at)) & (c.at[np.minimum(i, len(c.at) - 1)] == at)
             order = np.argsort(at[real] * 2 - hot[real], kind="stable")
@@ -427,6 +430,8 @@ def map_suffixes(buckets: int, chunk: int):
             at, hot, i = at[new], hot[new] > 0, i[new]
             h = c.hash[i]
             first, last = c.runs(at, h) if len(at) else (at, at)
+            if len(at):
+                first, last = np.append(free, 1 << 60)[np.searchsorted(free, first)], np.append(-1, free)[np.searchsorted(free, last, "right")]
             some = first <= last
             at, hot, h, first, last = at[some], hot[some], h[some], first[some], last[some]
             own = _mix(h * _U(_BASE))
