@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustmill.functions import columns as C
-from trustmill.operators import decision, evaluate, model, rules, structural, text_quality, univariate, vectors
+from trustmill.operators import decision, evaluate, model, quantiles, rules, structural, text_quality, univariate, vectors
 
 
 def test_nulls_and_nan_in_duplicates(spark):
@@ -155,3 +155,29 @@ def test_mixed_tokens_are_those_of_both_tests(spark):
     both = F.filter(F.regexp_extract_all("t", F.lit("[A-Za-zЀ-ӿ]{3,}"), F.lit(0)), lambda x: x.rlike("[A-Za-z]") & x.rlike(f"[{rules.CYRILLIC}]"))
     rows = df.select(both.alias("a"), rules.homoglyph_tokens(F.col("t")).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in rows) and sum(len(r["a"]) for r in rows) > 100
+
+
+@pytest.mark.parametrize("large", [0, 10**9])
+def test_quantiles_and_running_sums_by_blocks(spark, monkeypatch, large):
+    monkeypatch.setattr(quantiles, "LARGE", large)
+    rng = random.Random(2)
+    rows = [(k, float(v), rng.randint(1, 4)) for k, n in (("a", 1), ("b", 2), ("c", 331), ("d", 2000)) for v in rng.sample(range(-5000, 5000), n)]
+    counts = spark.createDataFrame(rows, "k string, value double, n long").repartition(3)
+    for share in (0.25, 0.5, 0.9):
+        want = counts.groupBy("k").agg(F.percentile("value", F.lit(share), F.col("n")).alias("q"))
+        assert sorted(quantiles.percentile(counts, ["k"], "value", share, "q", quantiles.edges(counts, ["k"])).collect()) == sorted(want.collect())
+    cut = quantiles.blocked(counts, ["k"], "value", quantiles.edges(counts, ["k"])).where("k = 'd'").groupBy("__b").count().collect()
+    assert (max(r["count"] for r in cut) < 200) == (large == 0)
+    want, sums = [], {}
+    for i, (k, v, n) in enumerate(ordered := sorted(rows)):
+        sums[k] = sums.get(k, 0) + n
+        want.append((k, v, ordered[i + 1][1] if i + 1 < len(ordered) and ordered[i + 1][0] == k else None, sums[k]))
+    assert sorted(tuple(r) for r in quantiles.running(counts, ["k"], ["n"]).collect()) == want
+    rows = [(k, "f", rng.gauss(0, 1) ** 3) for k in "xy" for _ in range(600)]
+    got = {r["label"]: (r["n"], r["share"]) for r in univariate.modified_z(spark.createDataFrame(rows, "label string, feature string, value double")).collect()}
+    for k in "xy":
+        v = np.array([r[2] for r in rows if r[0] == k])
+        dev = np.abs(v - np.median(v))
+        assert got[k] == (600, round(float(np.mean(0.6745 * dev / np.median(dev) > 3.5)), 6))
+    scores = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4, 100]] + [(None,)], "s double")
+    assert {r["s"]: r["flagged"] for r in model.mad_flags(scores, "s").collect()} == {1.0: False, 2.0: False, 3.0: False, 4.0: False, 100.0: True, None: None}

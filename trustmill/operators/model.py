@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 #: Parameters of the detectors and gates.
 ALPHA, EPSILON, SPECTRE_ROUNDS, SPECTRE_LEAST = 4.0, 0.10, 4, 10
 RPP_RUNS, RPP_NOISE = 20, 0.3
@@ -243,10 +245,13 @@ def gap_gate(scores: np.ndarray, low: float = 0.03, high: float = 0.40, separati
 
 def mad_flags(df: DataFrame, score: str) -> DataFrame:
     """df with flagged: scores above the median by three scaled median deviations."""
-    middle = df.agg(F.percentile(score, F.lit(0.5)).alias("__m"))
-    away = df.crossJoin(F.broadcast(middle))  # one row
-    mad = away.agg(F.percentile(F.abs(F.col(score) - F.col("__m")), F.lit(0.5)).alias("__d"))
-    return away.crossJoin(F.broadcast(mad)).withColumn("flagged", (1.4826 * F.col("__d") >= 1e-9) & (F.col(score) > F.col("__m") + 3 * 1.4826 * F.col("__d"))).drop("__m", "__d")
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")).withColumn("__k", F.lit(0))
+    cuts = quantiles.edges(counts, ["__k"], "v")
+    found = quantiles.percentile(counts, ["__k"], "v", 0.5, "__m", cuts)
+    middle = found.agg(F.first("__m").alias("__m"))
+    away = counts.crossJoin(F.broadcast(middle)).withColumn("d", F.abs(F.col("v") - F.col("__m")))  # one row
+    mad = quantiles.percentile(away, ["__k"], "d", 0.5, "__d", quantiles.moved(cuts, found, ["__k"], "__m")).agg(F.first("__d").alias("__d"))
+    return df.crossJoin(F.broadcast(middle)).crossJoin(F.broadcast(mad)).withColumn("flagged", (1.4826 * F.col("__d") >= 1e-9) & (F.col(score) > F.col("__m") + 3 * 1.4826 * F.col("__d"))).drop("__m", "__d")
 
 
 def top_fraction(df: DataFrame, score: str, fraction: float) -> DataFrame:
